@@ -124,3 +124,36 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     """Exact quantiles of several numeric columns (and groups) in one sort."""
     long_df = stack_numeric(df, cols, by=by)
     return exact_quantiles(long_df, probs, [*by, "column"], names=names)
+
+
+def cumulative_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], by: Sequence[str] = (),
+                   inclusive: bool = True, prefix: str = "cum_") -> DataFrame:
+    """Running sums of ``values`` inside each ``by`` group following
+    ``order`` (unique inside a group), without a one-task window.
+
+    Rows are range-partitioned and pinned as in ``with_position``; the
+    running sum inside one (group, partition) chunk is a window bounded by a
+    partition's size, and each chunk adds the totals of the chunks before it
+    (a table of at most groups + partitions rows).  ``inclusive=False`` gives
+    the sum of strictly earlier rows."""
+    by = list(by)
+    keys = [*by, *order]
+    ranged = (df.repartitionByRange(_parts(df), *[F.col(k) for k in keys])
+                .sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_idx", F.monotonically_increasing_id()))
+    ranged = checkpoint(ranged)
+    frame = Window.partitionBy(*by, "_pid").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged
+    for v in values:
+        local = local.withColumn(f"_l_{v}", F.sum(v).over(frame))
+    chunks = ranged.groupBy(*by, "_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    for v in values:
+        chunks = chunks.withColumn(f"_o_{v}", F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)))
+    chunks = chunks.select(*by, "_pid", *[f"_o_{v}" for v in values])
+    out = local.join(F.broadcast(chunks), [*by, "_pid"]) if not by else join_small(local, chunks, [*by, "_pid"])
+    for v in values:
+        run = F.col(f"_o_{v}") + F.col(f"_l_{v}")
+        out = out.withColumn(f"{prefix}{v}", run if inclusive else run - F.col(v))
+    return out.drop("_pid", "_idx", *[f"_l_{v}" for v in values], *[f"_o_{v}" for v in values])

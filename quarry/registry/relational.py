@@ -173,21 +173,16 @@ def distinct_first10(spark, sf):
     return P.first_distinct(t(spark, sf, "part"), "p_brand", ["p_partkey"], 10)
 
 
-_IQR_SQL = """(SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3
-   FROM lineitem)"""
-
-
-@q("anomaly_split", f"""
-SELECT l_orderkey, l_linenumber, l_extendedprice,
-       CASE WHEN l_extendedprice < q1 - 1.5 * (q3 - q1) OR l_extendedprice > q3 + 1.5 * (q3 - q1)
+@q("anomaly_split", """
+SELECT event_id, value, CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)
             THEN 'anomaly' ELSE 'normal' END AS segment
-FROM lineitem, {_IQR_SQL} b""")
+FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) b""")
 def anomaly_split(spark, sf):
     from quarry.operators.profile import iqr_flag
-    li = t(spark, sf, "lineitem")
-    flagged = iqr_flag(li, "l_extendedprice")
+    ev = t(spark, sf, "events")
+    flagged = iqr_flag(ev, "value")
     bad, good = P.split_by_flag(flagged, F.col("is_anomaly"))
-    cols = ["l_orderkey", "l_linenumber", "l_extendedprice"]
+    cols = ["event_id", "value"]
     return bad.select(*cols, F.lit("anomaly").alias("segment")).unionByName(
         good.select(*cols, F.lit("normal").alias("segment")))
 
