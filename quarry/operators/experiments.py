@@ -307,3 +307,17 @@ def overview(frame: DataFrame, results: DataFrame | None = None) -> DataFrame:
         return s.withColumn("has_results", F.lit(False))
     r = results.select("experiment", F.col("t_statistic"), F.lit(True).alias("has_results"))
     return s.join(r, ["experiment"], "left").withColumn("has_results", F.coalesce("has_results", F.lit(False)))
+
+
+class ExperimentNotFound(KeyError):
+    pass
+
+
+def analyze(frame: DataFrame, experiment_id: str, test: str = "t", **kw) -> DataFrame:
+    """Run one test for one experiment id; an unknown id is an error, not
+    an empty result."""
+    one = frame.where(F.col("experiment") == F.lit(experiment_id))
+    if one.isEmpty():
+        raise ExperimentNotFound(f"Experiment not found: {experiment_id}")
+    fn = {"t": t_test, "mann_whitney": mann_whitney, "confidence_interval": confidence_interval}[test]
+    return fn(one, **kw)

@@ -8,8 +8,8 @@ when one group holds a third of the rows:
 1. range-partition on ``by + order`` and sort inside each partition, so a hot
    group is cut across many partitions;
 2. tag every row with its partition id and its index inside the partition;
-3. pin that tagged table with a reliable checkpoint (range bounds are sampled,
-   so two passes must read the same materialised rows);
+3. pin that tagged table as a Parquet table in the checkpoint folder (range
+   bounds are sampled, so two passes must read the same materialised rows);
 4. count rows per (group, partition) - a table no larger than
    groups + partitions - and turn it into offsets with a window that sees at
    most ``#partitions`` rows per group;
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import clean_double
-from quarry.session import checkpoint
+from quarry.session import materialize
 
 # Size bound under which a derived lookup side is broadcast.
 BROADCAST_ROWS = 2_000_000
@@ -64,7 +64,7 @@ def with_position(df: DataFrame, order: Sequence[str | Column], by: Sequence[str
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_idx", F.monotonically_increasing_id()
                             - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    ranged = checkpoint(ranged)
+    ranged = materialize(ranged, "ranged")
     chunks = ranged.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_cnt"),
                                              F.min("_idx").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid")
@@ -121,9 +121,18 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles of several numeric columns (and groups) in one sort."""
-    long_df = stack_numeric(df, cols, by=by)
-    return exact_quantiles(long_df, probs, [*by, "column"], names=names)
+    """Exact quantiles of several numeric columns (and groups) in one sort.
+    The sort key carries a column index, not the name (narrower rows,
+    cheaper comparisons); names are restored on the small result."""
+    cols = list(cols)
+    arr = F.array(*[F.struct(F.lit(i).alias("c"), clean_double(F.col(f"`{c}`")).alias("v"))
+                    for i, c in enumerate(cols)])
+    long_df = (df.select(*[F.col(b) for b in by], F.explode(arr).alias("_kv"))
+                 .select(*by, F.col("_kv.c").alias("_ci"), F.col("_kv.v").alias("value"))
+                 .where(F.col("value").isNotNull()))
+    q = exact_quantiles(long_df, probs, [*by, "_ci"], names=names)
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("_ci") + 1)
+    return q.select(*by, name.alias("column"), *[c for c in q.columns if c not in (*by, "_ci")])
 
 
 def cumulative_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], by: Sequence[str] = (),
@@ -142,7 +151,7 @@ def cumulative_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], b
                 .sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_idx", F.monotonically_increasing_id()))
-    ranged = checkpoint(ranged)
+    ranged = materialize(ranged, "ranged")
     frame = Window.partitionBy(*by, "_pid").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged
     for v in values:
