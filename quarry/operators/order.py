@@ -92,31 +92,102 @@ def stack_numeric(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     return out.where(F.col(value_col).isNotNull())
 
 
+# Selection parameters for exact quantiles.
+QUANTILE_BUCKETS = 1024      # histogram buckets per refinement pass
+FINAL_ROWS = 50_000          # candidates per target below which a window picks the row
+MAX_PASSES = 8
+
+
+def _attach(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], small: bool = True) -> DataFrame:
+    """Targets onto rows of their group.  ``small`` = the target table's
+    size was counted under the broadcast bound."""
+    if not group_cols:
+        return src.crossJoin(F.broadcast(targets))  # at most 2 x len(probs) rows
+    return src.join(F.broadcast(targets) if small else targets, list(group_cols))
+
+
+def _refine(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], small: bool) -> DataFrame:
+    """One histogram pass: for each (group, rank) target keep only the
+    bucket of its interval that holds the rank; the bucket's own min / max
+    become the new interval."""
+    g = list(group_cols)
+    j = _attach(src, targets, g, small).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+    b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BUCKETS),
+                F.lit(QUANTILE_BUCKETS - 1))
+    h = j.groupBy(*g, "k", "below", b.alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    # at most QUANTILE_BUCKETS rows per (group, rank): a bounded window
+    w = Window.partitionBy(*g, "k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("_before", F.col("below") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    hit = (F.col("_before") <= F.col("k")) & (F.col("k") < F.col("_before") + F.col("_c"))
+    return h.where(hit).select(*g, "k", F.col("_mn").alias("lo"), F.col("_mx").alias("hi"),
+                               F.col("_before").alias("below"), F.col("_c").alias("cnt"))
+
+
+def _pick(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], bounded: bool, small: bool) -> DataFrame:
+    """The k-th value among a target's remaining candidates."""
+    g = list(group_cols)
+    j = _attach(src, targets.select(*g, "k", "lo", "hi", "below"), g, small).where(
+        F.col("_v").between(F.col("lo"), F.col("hi")))
+    if bounded:  # at most FINAL_ROWS rows per (group, rank)
+        r = F.row_number().over(Window.partitionBy(*g, "k").orderBy("_v")) - 1
+        j = j.withColumn("_r", r)
+    else:
+        j = with_position(j, ["_v"], by=[*g, "k"], pos_col="_r", n_col=None)
+    return j.where(F.col("_r") + F.col("below") == F.col("k")).select(*g, "k", F.col("_v").alias("value"))
+
+
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
                     value_col: str = "value", names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas ``quantile``, DuckDB
-    ``quantile_cont``) per group, by a distributed sort instead of a
-    value map in one task.
-
-    Returns one row per group with ``names`` (default q25, q50...) and ``n``.
+    ``quantile_cont``) per group, exact, without sorting or shuffling the
+    values.
+
+    Selection by histogram refinement: per group, the ranks floor(h) and
+    ceil(h) (h = (n - 1) p) are located in an equal-width histogram of the
+    current interval; the bucket holding a rank becomes the next interval
+    (using the bucket's real min / max).  Each pass is a scan plus a
+    partially aggregated histogram of at most ``QUANTILE_BUCKETS`` rows per
+    (group, rank); once a rank has few candidates (or one distinct value) a
+    bounded window picks it.  A hot group costs more scans, never one big
+    task.  Returns one row per group with ``n`` and ``names``.
     """
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    pos = with_position(long_df.select(*group_cols, value_col), [value_col], by=group_cols)
-    h = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = None
-    for hh in h:
-        cond = (F.col("_pos") == F.floor(hh)) | (F.col("_pos") == F.ceil(hh))
-        wanted = cond if wanted is None else (wanted | cond)
-    picked = pos.where(wanted)
-    aggs = [F.first("_n").alias("n")]
-    for i, hh in enumerate(h):
-        aggs.append(F.max(F.when(F.col("_pos") == F.floor(hh), F.col(value_col))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(F.col("_pos") == F.ceil(hh), F.col(value_col))).alias(f"_hi{i}"))
-        aggs.append(F.first(hh - F.floor(hh)).alias(f"_fr{i}"))
-    res = picked.groupBy(*group_cols).agg(*aggs)
+    g = list(group_cols)
+    src = long_df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    stats = materialize(src.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"),
+                                            F.max("_v").alias("_mx")), "qstats")
+    hs = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array_distinct(F.array(*[x for hh in hs for x in (F.floor(hh).cast("long"), F.ceil(hh).cast("long"))]))
+    active = stats.select(*g, F.explode(ranks).alias("k"), F.col("_mn").alias("lo"), F.col("_mx").alias("hi"),
+                          F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"))
+    active = materialize(active, "qtargets")
+    small = active.count() <= BROADCAST_ROWS  # targets only shrink from here
+    found = []
+    for _ in range(MAX_PASSES):
+        found.append(active.where(F.col("lo") == F.col("hi")).select(*g, "k", F.col("lo").alias("value")))
+        ready = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") <= FINAL_ROWS))
+        if not ready.isEmpty():
+            found.append(_pick(src, ready, g, True, small))
+        active = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") > FINAL_ROWS))
+        if active.isEmpty():
+            break
+        active = materialize(_refine(src, active, g, small), "qtargets")
+    else:
+        found.append(_pick(src, active, g, False, small))
+    vals = found[0]
+    for f in found[1:]:
+        vals = vals.unionByName(f)
+    aggs = [F.first("n").alias("n")]
+    for i, hh in enumerate(hs):
+        aggs += [F.max(F.when(F.col("k") == F.floor(hh), F.col("value"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("k") == F.ceil(hh), F.col("value"))).alias(f"_hi{i}"),
+                 F.first(hh - F.floor(hh)).alias(f"_fr{i}")]
+    joined = vals.join(F.broadcast(stats.select(*g, "n")), g) if g else vals.crossJoin(stats.select("n"))
+    res = joined.groupBy(*g).agg(*aggs)
     for i, nm in enumerate(names):
         res = res.withColumn(nm, F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))
-    return res.select(*group_cols, "n", *names)
+    return res.select(*g, "n", *names)
 
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
