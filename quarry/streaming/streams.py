@@ -34,6 +34,10 @@ DEFAULT_CAPACITY = 10000  # reference default buffer size
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _epoch_ntz():
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 # ---------------------------------------------------------------- sources / sinks
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None, name_glob: str | None = None) -> DataFrame:
@@ -150,8 +154,11 @@ def ring_buffer(stream: DataFrame, key: str, order: Sequence[str], capacity: int
     for f in stream.schema.fields:
         if f.name == key:
             continue
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            proj.append(F.unix_micros(col_of(f.name).cast("timestamp")).alias(f.name))
+        if isinstance(f.dataType, T.TimestampNTZType):  # wall clock: no time zone involved
+            proj.append(F.timestamp_diff("MICROSECOND", _epoch_ntz(), col_of(f.name)).alias(f.name))
+            enc[f.name] = f.dataType
+        elif isinstance(f.dataType, T.TimestampType):
+            proj.append(F.unix_micros(col_of(f.name)).alias(f.name))
             enc[f.name] = f.dataType
         else:
             proj.append(col_of(f.name))
@@ -165,7 +172,9 @@ def ring_buffer(stream: DataFrame, key: str, order: Sequence[str], capacity: int
     snap = src.groupBy("stream_id").transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=out_schema, outputMode="Append", timeMode="None")
     for name, dt in enc.items():
-        snap = snap.withColumn(name, F.timestamp_micros(col_of(name)).cast(dt.simpleString()))
+        back = (F.timestamp_add("MICROSECOND", col_of(name), _epoch_ntz()) if isinstance(dt, T.TimestampNTZType)
+                else F.timestamp_micros(col_of(name)))
+        snap = snap.withColumn(name, back)
     return snap.withColumn("capacity", F.lit(int(capacity)).cast("bigint"))
 
 
