@@ -15,6 +15,7 @@ Conventions
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -332,11 +333,13 @@ def _moment_frame(df: DataFrame, cols: Sequence[str]):
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form (x, y, r).
 
-    Two passes of plain sums that stay inside whole-stage codegen: pass 1
+    Two scans of plain sums: pass 1
     gives means (a one-row result); pass 2 sums centred products for all
     pairs.  Without nulls that is k(k+1)/2 + k + 1 sums; with nulls each
     pair also sums over its own complete rows (a product is null when either
-    side is).  A constant column gives null, not an error."""
+    side is).  The last step turns the single summary row (its size depends
+    on the column count only) into r; a constant column gives null, not an
+    error."""
     cols = list(cols or numeric_columns(df))
     k = len(cols)
     first, xs = _moment_frame(df, cols)
@@ -344,18 +347,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     shift = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(k)]
     d = [xs[i] - F.lit(float(shift[i])) for i in range(k)]
     complete = all(first[f"c{i}"] == n for i in range(k))
-    exprs, items = [], []
+    exprs = []
     if complete:
         exprs.append(F.count(F.lit(1)).alias("_n"))
         exprs += [F.sum(d[i]).alias(f"_s{i}") for i in range(k)]
         for i in range(k):
             for j in range(i, k):
                 exprs.append(F.sum(d[i] * d[j]).alias(f"_p{i}_{j}"))
-
-        def fields(i, j):
-            a, b = min(i, j), max(i, j)
-            return [F.col("_n").alias("nn"), F.col(f"_s{i}").alias("a"), F.col(f"_s{j}").alias("b"),
-                    F.col(f"_p{i}_{i}").alias("aa"), F.col(f"_p{j}_{j}").alias("bb"), F.col(f"_p{a}_{b}").alias("ab")]
     else:
         for i in range(k):
             for j in range(i, k):
@@ -363,27 +361,28 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                 exprs += [F.count(both).alias(f"_n{i}_{j}"), F.sum(d[i] + both).alias(f"_a{i}_{j}"),
                           F.sum(d[j] + both).alias(f"_b{i}_{j}"), F.sum(d[i] * d[i] + both).alias(f"_aa{i}_{j}"),
                           F.sum(d[j] * d[j] + both).alias(f"_bb{i}_{j}"), F.sum(d[i] * d[j]).alias(f"_ab{i}_{j}")]
-
-        def fields(i, j):
-            a, b = min(i, j), max(i, j)
-            sw = i > j  # mirrored pair: swap the per-side sums
-            return [F.col(f"_n{a}_{b}").alias("nn"), F.col(f"_{'b' if sw else 'a'}{a}_{b}").alias("a"),
-                    F.col(f"_{'a' if sw else 'b'}{a}_{b}").alias("b"),
-                    F.col(f"_{'bb' if sw else 'aa'}{a}_{b}").alias("aa"),
-                    F.col(f"_{'aa' if sw else 'bb'}{a}_{b}").alias("bb"), F.col(f"_ab{a}_{b}").alias("ab")]
-    wide = df.agg(*exprs)
-    for i in range(k):
-        for j in range(k):
-            items.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), *fields(i, j)))
-    long_df = wide.select(F.explode(F.array(*items)).alias("p")).select("p.*")
-    nn, a, b = F.col("nn").cast("double"), F.col("a"), F.col("b")
-    cab = F.col("ab") - a * b / nn
-    caa = F.col("aa") - a * a / nn
-    cbb = F.col("bb") - b * b / nn
-    r = F.try_divide(cab, F.sqrt(caa * cbb))
-    # a variance that cancels to <= 0 means a constant column: null
-    r = F.when((caa > 0) & (cbb > 0), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-    return long_df.select("x", "y", r.alias("r"))
+    # one row of k(k+1)/2 + k + 1 (or 6 per pair) sums: bounded by the column count
+    w = df.agg(*exprs).first().asDict()
+
+    def moments(i, j):
+        a_, b_ = min(i, j), max(i, j)
+        if complete:
+            return w["_n"], w[f"_s{i}"], w[f"_s{j}"], w[f"_p{i}_{i}"], w[f"_p{j}_{j}"], w[f"_p{a_}_{b_}"]
+        sw = i > j
+        return (w[f"_n{a_}_{b_}"], w[f"_{'b' if sw else 'a'}{a_}_{b_}"], w[f"_{'a' if sw else 'b'}{a_}_{b_}"],
+                w[f"_{'bb' if sw else 'aa'}{a_}_{b_}"], w[f"_{'aa' if sw else 'bb'}{a_}_{b_}"], w[f"_ab{a_}_{b_}"])
+
+    def r_of(i, j):
+        nn, a_, b_, aa, bb, ab = moments(i, j)
+        if not nn or any(v is None for v in (a_, b_, aa, bb, ab)):
+            return None
+        cab, caa, cbb = ab - a_ * b_ / nn, aa - a_ * a_ / nn, bb - b_ * b_ / nn
+        if caa <= 0 or cbb <= 0:  # constant column (or one that cancels to zero)
+            return None
+        return max(-1.0, min(1.0, cab / math.sqrt(caa * cbb)))
+
+    rows = [(cols[i], cols[j], r_of(i, j)) for i in range(k) for j in range(k)]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
