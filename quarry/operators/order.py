@@ -124,6 +124,26 @@ def _refine(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], small
                                F.col("_before").alias("below"), F.col("_c").alias("cnt"))
 
 
+def _first_pass(src: DataFrame, stats: DataFrame, targets: DataFrame, group_cols: Sequence[str],
+                small: bool) -> DataFrame:
+    """The first histogram is shared by all ranks of a group (they all start
+    from [min, max]), so every row is bucketed once, not once per rank."""
+    g = list(group_cols)
+    j = _attach(src, stats.select(*g, "_mn", "_mx"), g, small)
+    b = F.when(F.col("_mx") > F.col("_mn"), F.least(
+        F.floor((F.col("_v") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * QUANTILE_BUCKETS),
+        F.lit(QUANTILE_BUCKETS - 1))).otherwise(F.lit(0))
+    h = j.groupBy(*g, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmn"),
+                                         F.max("_v").alias("_bmx"))
+    w = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    h = h.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    t = targets.select(*g, "k")
+    m = (t.join(h, g) if g else t.crossJoin(h)).where(
+        (F.col("_before") <= F.col("k")) & (F.col("k") < F.col("_before") + F.col("_c")))
+    return m.select(*g, "k", F.col("_bmn").alias("lo"), F.col("_bmx").alias("hi"),
+                    F.col("_before").alias("below"), F.col("_c").alias("cnt"))
+
+
 def _pick(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], bounded: bool, small: bool) -> DataFrame:
     """The k-th value among a target's remaining candidates."""
     g = list(group_cols)
@@ -164,6 +184,11 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
     active = materialize(active, "qtargets")
     small = active.count() <= BROADCAST_ROWS  # targets only shrink from here
     found = []
+    big_start = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") > FINAL_ROWS))
+    if not big_start.isEmpty():
+        first = materialize(_first_pass(src, stats, big_start, g, small), "qtargets")
+        active = active.where((F.col("lo") == F.col("hi")) | (F.col("cnt") <= FINAL_ROWS)).unionByName(first)
+        active = materialize(active, "qtargets")
     for _ in range(MAX_PASSES):
         found.append(active.where(F.col("lo") == F.col("hi")).select(*g, "k", F.col("lo").alias("value")))
         ready = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") <= FINAL_ROWS))

@@ -225,3 +225,23 @@ def test_anova_by_hand(spark):
     ssb = sum(len(v) * (np.mean(v) - allv.mean()) ** 2 for v in groups.values())
     ssw = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in groups.values())
     assert r["f_statistic"] == pytest.approx((ssb / 2) / (ssw / 6))
+
+
+@pytest.mark.parametrize("buckets,final,passes", [(4, 10, 8), (3, 5, 2), (1024, 50, 8)])
+def test_exact_quantiles_refinement_paths(spark, monkeypatch, buckets, final, passes):
+    """Force several histogram passes (and the position fallback) on data
+    with heavy ties, a hot group and outliers."""
+    monkeypatch.setattr(O, "QUANTILE_BUCKETS", buckets)
+    monkeypatch.setattr(O, "FINAL_ROWS", final)
+    monkeypatch.setattr(O, "MAX_PASSES", passes)
+    rnd = np.random.default_rng(9)
+    hot = np.concatenate([rnd.exponential(size=700), np.full(200, 3.0), [1e9, -1e9]])
+    cold = rnd.integers(0, 4, size=50).astype(float)
+    one = np.array([7.0])
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold] + [("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["g"]: r for r in O.column_quantiles(df, ["v"], probs, by=["g"], names=list("abcdef")).collect()}
+    for g, vals in (("hot", hot), ("cold", cold), ("one", one)):
+        ref = np.quantile(vals, probs)
+        assert [got[g][c] for c in "abcdef"] == pytest.approx(list(ref), rel=1e-12, abs=1e-12)
