@@ -245,3 +245,15 @@ def test_exact_quantiles_refinement_paths(spark, monkeypatch, buckets, final, pa
     for g, vals in (("hot", hot), ("cold", cold), ("one", one)):
         ref = np.quantile(vals, probs)
         assert [got[g][c] for c in "abcdef"] == pytest.approx(list(ref), rel=1e-12, abs=1e-12)
+
+
+def test_experiment_first_two_groups_by_input_order(spark):
+    rows = [(1, "e", "late", 1.0), (0, "e", "early", 2.0), (2, "e", "third", 3.0), (3, "e", "early", None),
+            (4, "f", "x", 1.0), (5, "f", "y", 2.0), (6, "f", "x", 3.0)]
+    df = spark.createDataFrame(rows, "o long, exp string, grp string, v double")
+    fr = X.experiment_frame(df, "exp", "grp", "v", order_by=["o"])
+    got = sorted((r["experiment"], r["variant"], r["value"]) for r in fr.collect())
+    assert got == [("e", "A", 2.0), ("e", "B", 1.0), ("f", "A", 1.0), ("f", "A", 3.0), ("f", "B", 2.0)]
+    s = {(r["experiment"], r["variant"]): r["n"] for r in X.variant_summary(fr).collect()}
+    assert s[("f", "A")] == 2
+    assert X.t_test(fr).where("experiment = 'e'").count() == 0  # fewer than 2 per variant
