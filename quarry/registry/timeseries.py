@@ -46,11 +46,13 @@ w AS (SELECT *, CASE WHEN count(value) OVER (PARTITION BY series ORDER BY pos RO
           END AS trend, pos % 12 AS phase FROM p),
 ph AS (SELECT series, phase, avg(value - trend) AS pm FROM w GROUP BY 1, 2),
 s AS (SELECT series, phase, pm - avg(pm) OVER (PARTITION BY series) AS seasonal FROM ph)
-SELECT w.series, w.ts, round(value, 6) AS observed, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal,
-       round(value - trend - seasonal, 6) AS resid
+SELECT w.series, w.ts, round(value, 8) AS observed, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal,
+       round(value - trend - seasonal, 8) AS resid
 FROM w JOIN s ON w.series = s.series AND w.phase = s.phase""")
 def ts_decompose(spark, sf):
-    return round_all(TS.decompose(_event_grid(spark, sf), 12))
+    # 8 digits: the parts are short exact decimals (cents / 12, / 24), so 6
+    # digits can land exactly on a rounding tie decided by summation order
+    return round_all(TS.decompose(_event_grid(spark, sf), 12), 8)
 
 
 @q("ts_adf")
