@@ -181,23 +181,24 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
     ranks = F.array_distinct(F.array(*[x for hh in hs for x in (F.floor(hh).cast("long"), F.ceil(hh).cast("long"))]))
     active = stats.select(*g, F.explode(ranks).alias("k"), F.col("_mn").alias("lo"), F.col("_mx").alias("hi"),
                           F.lit(0).cast("long").alias("below"), F.col("n").alias("cnt"))
+    info = stats.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("maxn")).first()
+    small = (info["groups"] or 0) * 2 * len(probs) <= BROADCAST_ROWS  # targets only shrink from here
+    if (info["maxn"] or 0) > FINAL_ROWS:
+        big = F.col("cnt") > FINAL_ROWS
+        first = _first_pass(src, stats.where(F.col("n") > FINAL_ROWS), active.where(big), g, small)
+        active = active.where(~big).unionByName(first)
     active = materialize(active, "qtargets")
-    small = active.count() <= BROADCAST_ROWS  # targets only shrink from here
     found = []
-    big_start = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") > FINAL_ROWS))
-    if not big_start.isEmpty():
-        first = materialize(_first_pass(src, stats, big_start, g, small), "qtargets")
-        active = active.where((F.col("lo") == F.col("hi")) | (F.col("cnt") <= FINAL_ROWS)).unionByName(first)
-        active = materialize(active, "qtargets")
     for _ in range(MAX_PASSES):
-        found.append(active.where(F.col("lo") == F.col("hi")).select(*g, "k", F.col("lo").alias("value")))
-        ready = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") <= FINAL_ROWS))
-        if not ready.isEmpty():
-            found.append(_pick(src, ready, g, True, small))
-        active = active.where((F.col("lo") < F.col("hi")) & (F.col("cnt") > FINAL_ROWS))
-        if active.isEmpty():
+        open_ = F.col("lo") < F.col("hi")
+        flags = active.agg(F.sum(F.when(open_ & (F.col("cnt") <= FINAL_ROWS), 1).otherwise(0)).alias("ready"),
+                           F.sum(F.when(open_ & (F.col("cnt") > FINAL_ROWS), 1).otherwise(0)).alias("big")).first()
+        found.append(active.where(~open_).select(*g, "k", F.col("lo").alias("value")))
+        if flags["ready"]:
+            found.append(_pick(src, active.where(open_ & (F.col("cnt") <= FINAL_ROWS)), g, True, small))
+        if not flags["big"]:
             break
-        active = materialize(_refine(src, active, g, small), "qtargets")
+        active = materialize(_refine(src, active.where(open_ & (F.col("cnt") > FINAL_ROWS)), g, small), "qtargets")
     else:
         found.append(_pick(src, active, g, False, small))
     vals = found[0]
