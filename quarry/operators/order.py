@@ -209,7 +209,11 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
         aggs += [F.max(F.when(F.col("k") == F.floor(hh), F.col("value"))).alias(f"_lo{i}"),
                  F.max(F.when(F.col("k") == F.ceil(hh), F.col("value"))).alias(f"_hi{i}"),
                  F.first(hh - F.floor(hh)).alias(f"_fr{i}")]
-    joined = vals.join(F.broadcast(stats.select(*g, "n")), g) if g else vals.crossJoin(stats.select("n"))
+    sizes = stats.select(*g, "n")
+    if not g:
+        joined = vals.crossJoin(F.broadcast(sizes))  # one row
+    else:
+        joined = vals.join(F.broadcast(sizes) if small else sizes, g)  # counted above
     res = joined.groupBy(*g).agg(*aggs)
     for i, nm in enumerate(names):
         res = res.withColumn(nm, F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}"))
