@@ -242,7 +242,7 @@ def treemap_rollup(spark, sf):
 
 
 @q("sunburst_rollup", """
-SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS yr, CAST(count(*) AS BIGINT) AS total,
+SELECT o_orderstatus, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(count(*) AS BIGINT) AS total,
        CAST(grouping(o_orderstatus, o_orderpriority, year(o_orderdate)) AS BIGINT) AS level
 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority, year(o_orderdate))""")
 def sunburst_rollup(spark, sf):

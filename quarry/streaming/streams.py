@@ -124,7 +124,12 @@ class LastN(StatefulProcessor):
             newest = part if newest is None else pd.concat([newest, part], ignore_index=True)
             newest = newest.sort_values(self.order, kind="stable").tail(n)
         old = pd.DataFrame(list(self.buf.get()) if self.buf.exists() else [], columns=self.fields)
-        buf = pd.concat([old, newest], ignore_index=True).tail(n) if newest is not None else old
+        if newest is None:
+            buf = old
+        elif old.empty:
+            buf = newest.tail(n)
+        else:
+            buf = pd.concat([old, newest], ignore_index=True).tail(n)
         self.buf.put([tuple(r) for r in buf.itertuples(index=False, name=None)])
         version, received = self.meta.get() if self.meta.exists() else (0, 0)
         version, received = version + 1, received + added
