@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dist
 from quarry.functions.stats import clean_double, col_of
-from quarry.operators.order import cumulative_sum, exact_quantiles, join_small
+from quarry.operators.order import cumulative_sum, exact_quantiles, join_small, with_position
 
 # Effect-size cut points (Cohen's d and Cramer's V) and texts.
 D_CUTS = ((0.2, "Negligible"), (0.5, "Small"), (0.8, "Medium"))
@@ -225,12 +225,12 @@ def sequential_t(frame: DataFrame, order_by: Sequence[str], max_observations: in
     first n of B, for n = 2 .. min(nA, nB, max_observations) - 1 (X7).
 
     O(n) instead of re-testing every prefix: positions per variant come from
-    a top-``max_observations`` row number (Spark plans it as a window group
-    limit, bounded per task), the two variants are zipped on position, and
-    running sums give every prefix's means and variances.  The window per
+    the distributed position helper (a hot experiment is cut across range
+    partitions), the two variants are zipped on position, and running sums
+    give every prefix's means and variances.  The running window per
     experiment sees at most ``max_observations`` rows."""
-    w = Window.partitionBy("experiment", "variant").orderBy(*order_by)
-    pos = frame.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= max_observations)
+    pos = with_position(frame, list(order_by), by=["experiment", "variant"], pos_col="_p0", n_col=None)
+    pos = pos.withColumn("pos", F.col("_p0") + 1).where(F.col("pos") <= max_observations)
     a = pos.where("variant = 'A'").select("experiment", "pos", F.col("value").alias("a"))
     b = pos.where("variant = 'B'").select("experiment", "pos", F.col("value").alias("b"))
     z = a.join(b, ["experiment", "pos"])

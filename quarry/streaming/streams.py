@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.functions.stats import col_of
-from quarry.operators.order import join_small
+from quarry.operators.order import join_small, with_position
 from quarry.session import ensure_checkpoint_dir
 
 DEFAULT_CAPACITY = 10000  # reference default buffer size
@@ -191,11 +191,10 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
 
 def last_n_batch(df: DataFrame, key: str, order: Sequence[str], capacity: int = DEFAULT_CAPACITY) -> DataFrame:
     """Batch twin of the ring buffer: last N rows per stream by order.
-    ``row_number <= N`` is planned as a window group limit (top-N kept per
-    task before the shuffle)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(col_of(key)).orderBy(*[F.desc(o) for o in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= capacity).drop("_rn")
+    Positions from the end come from the distributed position helper, so
+    a stream holding most rows is still spread over many tasks."""
+    pos = with_position(df, [F.desc(o) for o in order], by=[key], pos_col="_rn", n_col=None)
+    return pos.where(F.col("_rn") < capacity).drop("_rn")
 
 
 def most_recent(buffer: DataFrame, n: int, order: str = "slot") -> DataFrame:
