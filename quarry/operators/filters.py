@@ -6,6 +6,7 @@ Parquet scan (``PushedFilters``) and prunes columns (``ReadSchema``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -109,12 +110,24 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 100) -> DataFrame:
 # --- P9 -------------------------------------------------------------------
 def sample_n(df: DataFrame, n: int, order_by: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows drawn uniformly without replacement, in
-    the original order (P9).  A seeded hash ranks rows; the n smallest are a
-    top-k (bounded per task), never a full sort.  ``df.sample`` gives only a
-    fraction, not an exact n.  Sampling is the feature here, so the limit is
-    part of the semantics."""
-    key = F.xxhash64(F.lit(seed), *[col_of(c) for c in df.columns])
-    picked = df.withColumn("_h", key).orderBy("_h", *order_by).limit(n).drop("_h")
+    the original order (P9).  ``df.sample`` gives only a fraction, not an
+    exact n; sampling is the feature here, so the limit is part of the
+    semantics.
+
+    Every row gets a seeded hash key u in [0, 1); the sample is the n rows
+    with the smallest u.  To keep the final top-n merge small, rows are first
+    cut at a threshold that lets about n plus ten standard deviations through;
+    when at least n rows pass (checked), the n smallest among them are the n
+    smallest overall, otherwise the plain top-n over all rows is used."""
+    h = F.xxhash64(F.lit(seed), *[col_of(c) for c in df.columns])
+    keyed = df.withColumn("_u", h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
+    total = df.count()
+    if total <= n:
+        return df.orderBy(*order_by)
+    thr = min(1.0, (n + 10.0 * math.sqrt(n) + 10.0) / total)
+    cand = keyed.where(F.col("_u") < thr)
+    src = cand if cand.count() >= n else keyed
+    picked = src.orderBy("_u", *order_by).limit(n).drop("_u")
     return picked.orderBy(*order_by)
 
 
