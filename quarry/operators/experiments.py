@@ -115,22 +115,36 @@ def mann_whitney(frame: DataFrame, alpha: float = 0.05, with_p: bool = True) ->
 
     Values are counted per (experiment, value) first, so ranking works on
     distinct values; the rank offsets are a distributed running count (no
-    one-task window even for one huge experiment)."""
+    one-task window even for one huge experiment).  The same running counts
+    per variant give each variant's median."""
     cnt = frame.groupBy("experiment", "value").agg(
         F.sum(F.when(F.col("variant") == "A", 1).otherwise(0)).cast("double").alias("ca"),
         F.sum(F.when(F.col("variant") == "B", 1).otherwise(0)).cast("double").alias("cb"))
     cnt = cnt.withColumn("c", F.col("ca") + F.col("cb"))
-    ranked = cumulative_sum(cnt, ["value"], ["c"], by=["experiment"], inclusive=False, prefix="before_")
-    ranked = ranked.withColumn("rank", F.col("before_c") + (F.col("c") + 1) / 2)
+    ranked = cumulative_sum(cnt, ["value"], ["c", "ca", "cb"], by=["experiment"], inclusive=False,
+                            prefix="before_")
+    totals = cnt.groupBy("experiment").agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"))
+    ranked = join_small(ranked, totals, ["experiment"]).withColumn(
+        "rank", F.col("before_c") + (F.col("c") + 1) / 2)
+
+    def at(k: Column, side: str) -> Column:
+        # the value holding rank k among one variant's sorted values
+        before, here = F.col(f"before_c{side}"), F.col(f"c{side}")
+        return F.max(F.when((before <= k) & (k < before + here), F.col("value")))
+
+    med = {}
+    for side in ("a", "b"):
+        h = (F.col(f"n_{side}") - 1) / 2
+        med[side] = (at(F.floor(h), side), at(F.ceil(h), side))
     agg = ranked.groupBy("experiment").agg(
-        F.sum(F.col("ca") * F.col("rank")).alias("r_a"), F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"),
-        F.sum(F.col("c") ** 3 - F.col("c")).alias("tie_term"), F.max("c").alias("max_tie"))
+        F.sum(F.col("ca") * F.col("rank")).alias("r_a"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"),
+        F.sum(F.col("c") ** 3 - F.col("c")).alias("tie_term"), F.max("c").alias("max_tie"),
+        med["a"][0].alias("_a_lo"), med["a"][1].alias("_a_hi"), med["b"][0].alias("_b_lo"), med["b"][1].alias("_b_hi"))
     agg = agg.where((F.col("n_a") >= 2) & (F.col("n_b") >= 2))
     u = F.col("r_a") - F.col("n_a") * (F.col("n_a") + 1) / 2
-    med = exact_quantiles(frame, [0.5], ["experiment", "variant"], names=["median"])
-    meds = med.groupBy("experiment").agg(F.max(F.when(F.col("variant") == "A", F.col("median"))).alias("median_a"),
-                                         F.max(F.when(F.col("variant") == "B", F.col("median"))).alias("median_b"))
-    out = agg.withColumn("u_statistic", u).join(meds, ["experiment"])
+    out = (agg.withColumn("u_statistic", u)
+              .withColumn("median_a", (F.col("_a_lo") + F.col("_a_hi")) / 2)
+              .withColumn("median_b", (F.col("_b_lo") + F.col("_b_hi")) / 2))
     out = out.select("experiment", F.col("n_a").cast("bigint").alias("n_a"), F.col("n_b").cast("bigint").alias("n_b"),
                      "u_statistic", "median_a", "median_b", "tie_term", "max_tie")
     if with_p:
