@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -84,6 +85,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEANUP_REGISTERED: set[str] = set()
+
+
+def _app_folder(spark: SparkSession, root: str) -> str:
+    """Per-application folder for pinned tables, removed when the Python
+    process exits (through the Hadoop file system, so HDFS / object stores
+    work too)."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Connect)
+        return f"{root}/tables/shared"
+    folder = f"{root}/tables/{app}"
+    if folder not in _CLEANUP_REGISTERED:
+        _CLEANUP_REGISTERED.add(folder)
+
+        def _drop(path=folder, sc=spark.sparkContext):
+            try:
+                jvm = sc._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # noqa: BLE001 - JVM already gone: nothing to do
+                pass
+
+        atexit.register(_drop)
+    return folder
+
+
 def materialize(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Write a derived table as Parquet under the checkpoint folder and read
     it back: cuts lineage and pins the exact rows (shared storage, so it
@@ -91,7 +119,7 @@ def materialize(df: DataFrame, name: str = "pinned") -> DataFrame:
     import uuid
 
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(df.sparkSession, root)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
