@@ -126,18 +126,22 @@ def metric_cards(df: DataFrame, cards: Sequence[tuple[str, str, str]]) -> DataFr
 
 
 # --- A8 -------------------------------------------------------------------------
-def _unpivot_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[tuple[str, callable]]) -> DataFrame:
-    """One wide aggregate, then rows (column, stat...) via explode of an array
-    of structs (the one-row result is tiny)."""
+def _unpivot_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[tuple[str, callable]],
+                   types: Sequence[str] | None = None) -> DataFrame:
+    """One wide aggregate, then rows (column, stat...).  The aggregate has a
+    single row whose size depends on the column count only; it is turned
+    into the long table directly instead of through a wide generated
+    projection."""
     exprs = []
     for i, c in enumerate(cols):
         x = clean_double(col_of(c))
         for nm, fn in stats:
             exprs.append(fn(x).alias(f"_{i}_{nm}"))
-    wide = df.agg(*exprs)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}_{nm}").alias(nm) for nm, _ in stats])
-                    for i, c in enumerate(cols)])
-    return wide.select(F.explode(arr).alias("s")).select("s.*")
+    w = df.agg(*exprs).first().asDict()
+    types = list(types or ["double"] * len(stats))
+    rows = [(c, *[w[f"_{i}_{nm}"] for nm, _ in stats]) for i, c in enumerate(cols)]
+    schema = "column string, " + ", ".join(f"{nm} {t}" for (nm, _), t in zip(stats, types))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
@@ -146,7 +150,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     cols = list(cols or numeric_columns(df))
     base = _unpivot_stats(df, cols, [
         ("count", lambda x: F.count(x)), ("mean", F.avg), ("std", F.stddev_samp),
-        ("min", F.min), ("max", F.max)])
+        ("min", F.min), ("max", F.max)], ["bigint", "double", "double", "double", "double"])
     q = quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx=approx)
     return base.join(F.broadcast(q), ["column"], "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
@@ -186,22 +190,20 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
             x = clean_double(c)
             exprs += [F.min(x).alias(f"_{i}_min"), F.max(x).alias(f"_{i}_max"),
                       F.avg(x).alias(f"_{i}_mean"), F.stddev_samp(x).alias(f"_{i}_std")]
-    wide = df.agg(*exprs)
-    nulld = F.lit(None).cast("double")
+    w = df.agg(*exprs).first().asDict()  # one row, sized by the column count
+    n = w["_rows"]
     rows = []
     for i, f in enumerate(fields):
         num = is_numeric(f.dataType)
-        rows.append(F.struct(
-            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-            (F.col("_rows") - F.col(f"_{i}_nn")).alias("null_count"),
-            (F.try_divide(F.col("_rows") - F.col(f"_{i}_nn"), F.col("_rows")) * 100.0).alias("null_pct"),
-            F.col(f"_{i}_nd").alias("unique_count"),
-            F.lit(num).alias("is_numeric"), F.lit(is_datetime(f.dataType)).alias("is_datetime"),
-            (F.col(f"_{i}_min") if num else nulld).alias("min"),
-            (F.col(f"_{i}_max") if num else nulld).alias("max"),
-            (F.col(f"_{i}_mean") if num else nulld).alias("mean"),
-            (F.col(f"_{i}_std") if num else nulld).alias("std")))
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        nulls = n - w[f"_{i}_nn"]
+        rows.append((f.name, f.dataType.simpleString(), nulls, (nulls / n * 100.0) if n else None,
+                     w[f"_{i}_nd"], num, is_datetime(f.dataType),
+                     *[(w[f"_{i}_{k}"] if num else None) for k in ("min", "max", "mean", "std")]))
+    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+
+
+PROFILE_SCHEMA = ("column string, dtype string, null_count bigint, null_pct double, unique_count bigint, "
+                  "is_numeric boolean, is_datetime boolean, min double, max double, mean double, std double")
 
 
 def data_quality(df: DataFrame) -> DataFrame:
