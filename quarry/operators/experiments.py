@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dist
 from quarry.functions.stats import clean_double, col_of
-from quarry.operators.order import cumulative_sum, exact_quantiles, join_small, with_position
+from quarry.operators.order import cumulative_sum, join_small, with_position
 
 # Effect-size cut points (Cohen's d and Cramer's V) and texts.
 D_CUTS = ((0.2, "Negligible"), (0.5, "Small"), (0.8, "Medium"))
