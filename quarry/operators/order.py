@@ -267,3 +267,36 @@ def cumulative_sum(df: DataFrame, order: Sequence[str], values: Sequence[str], b
         run = F.col(f"_o_{v}") + F.col(f"_l_{v}")
         out = out.withColumn(f"{prefix}{v}", run if inclusive else run - F.col(v))
     return out.drop("_pid", "_idx", *[f"_l_{v}" for v in values], *[f"_o_{v}" for v in values])
+
+
+def positional_slopes(df: DataFrame, order: Sequence[str], values: Sequence[Column]) -> list:
+    """Least-squares slopes of each value on its 0-based row position in
+    ``order`` (unique), in one shuffle and without pinning positions.
+
+    Rows are range-partitioned and sorted; inside that one stage every
+    partition sums count, sum(idx * y') and sum(y') with y' = y - mean(y).
+    Then sum(pos * y') = sum over partitions of (sum(idx * y') + offset * sum(y')),
+    where the offsets come from a table of at most #partitions rows.  The
+    position moments are closed forms: mean (n-1)/2, Sxx = n (n^2 - 1) / 12."""
+    vals = list(values)
+    means = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(vals)]).first()
+    n = means["n"]
+    if not n or n < 2:
+        return [None] * len(vals)
+    cent = [(v - F.lit(float(means[f"m{i}"] or 0.0))).alias(f"_y{i}") for i, v in enumerate(vals)]
+    keys = [F.col(o) for o in order]
+    ranged = (df.select(*keys, *cent).repartitionByRange(_parts(df), *keys).sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_idx", (F.monotonically_increasing_id()
+                                     - F.shiftleft(F.spark_partition_id().cast("long"), 33)).cast("double")))
+    per = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"),
+                                     *[F.sum(F.col("_idx") * F.col(f"_y{i}")).alias(f"_iy{i}") for i in range(len(vals))],
+                                     *[F.sum(f"_y{i}").alias(f"_sy{i}") for i in range(len(vals))])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # <= #partitions rows
+    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)).cast("double"))
+    tot = per.agg(*[F.sum(F.col(f"_iy{i}") + F.col("_off") * F.col(f"_sy{i}")).alias(f"pxy{i}") for i in range(len(vals))],
+                  *[F.sum(f"_sy{i}").alias(f"sy{i}") for i in range(len(vals))]).first()
+    pbar = (n - 1) / 2.0
+    sxx = n * (n * n - 1) / 12.0
+    return [(tot[f"pxy{i}"] - pbar * tot[f"sy{i}"]) / sxx if tot[f"pxy{i}"] is not None else None
+            for i in range(len(vals))]

@@ -257,3 +257,17 @@ def test_experiment_first_two_groups_by_input_order(spark):
     s = {(r["experiment"], r["variant"]): r["n"] for r in X.variant_summary(fr).collect()}
     assert s[("f", "A")] == 2
     assert X.t_test(fr).where("experiment = 'e'").count() == 0  # fewer than 2 per variant
+
+
+def test_trend_slopes_match_polyfit(spark):
+    from quarry.operators import profile as R
+    rnd = random.Random(3)
+    rows = [(f"2024-01-{1 + (i % 3 if i < 900 else i % 28):02d}", i, rnd.random() * 10 + 0.01 * i,
+             None if i % 17 == 0 else float(i % 11)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "d string, key long, a double, b double")
+    got = {r["column"]: r["slope"] for r in R.trend_slopes(df, "d", ["key"], cols=["a", "b"]).collect()}
+    ordered = sorted(rows, key=lambda t: (t[0], t[1]))
+    x = np.arange(len(ordered))
+    for j, c in ((2, "a"), (3, "b")):
+        y = np.array([0.0 if r[j] is None else r[j] for r in ordered])
+        assert got[c] == pytest.approx(np.polyfit(x, y, 1)[0], rel=1e-9, abs=1e-12)
