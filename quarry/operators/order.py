@@ -98,6 +98,13 @@ FINAL_ROWS = 50_000          # candidates per target below which a window picks
 MAX_PASSES = 8
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    """Keep a small, deterministic table (quantile stats / targets) for the
+    next pass.  Unlike range-partition positions these depend only on the
+    values, so a lost block recomputes to the same rows; no pinning needed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _attach(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], small: bool = True) -> DataFrame:
     """Targets onto rows of their group.  ``small`` = the target table's
     size was counted under the broadcast bound."""
@@ -175,8 +182,8 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     g = list(group_cols)
     src = long_df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    stats = materialize(src.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"),
-                                            F.max("_v").alias("_mx")), "qstats")
+    stats = _keep(src.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"),
+                                            F.max("_v").alias("_mx")))
     hs = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array_distinct(F.array(*[x for hh in hs for x in (F.floor(hh).cast("long"), F.ceil(hh).cast("long"))]))
     active = stats.select(*g, F.explode(ranks).alias("k"), F.col("_mn").alias("lo"), F.col("_mx").alias("hi"),
@@ -187,7 +194,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
         big = F.col("cnt") > FINAL_ROWS
         first = _first_pass(src, stats.where(F.col("n") > FINAL_ROWS), active.where(big), g, small)
         active = active.where(~big).unionByName(first)
-    active = materialize(active, "qtargets")
+    active = _keep(active)
     found = []
     for _ in range(MAX_PASSES):
         open_ = F.col("lo") < F.col("hi")
@@ -198,7 +205,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
             found.append(_pick(src, active.where(open_ & (F.col("cnt") <= FINAL_ROWS)), g, True, small))
         if not flags["big"]:
             break
-        active = materialize(_refine(src, active.where(open_ & (F.col("cnt") > FINAL_ROWS)), g, small), "qtargets")
+        active = _keep(_refine(src, active.where(open_ & (F.col("cnt") > FINAL_ROWS)), g, small))
     else:
         found.append(_pick(src, active, g, False, small))
     vals = found[0]
