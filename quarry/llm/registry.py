@@ -32,3 +32,10 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.llm import token_files as T
 
     return T.read_digests(T.write_files(table(spark, sf, "documents"), vocabulary(), END_ID))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.llm import jaccard_join as J
+
+    return J.component_ids(J.join(table(spark, sf, "documents"))[0])
