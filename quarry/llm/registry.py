@@ -39,3 +39,16 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.llm import jaccard_join as J
 
     return J.component_ids(J.join(table(spark, sf, "documents"))[0])
+
+
+@query
+def op4_language_crf(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import language_crf as L
+
+    docs = table(spark, sf, "documents")
+    out = L.predict(docs, L.train(docs), keep=["doc_id"])
+    doc = F.col("row.doc_id")
+    return out.select(doc.alias("doc_id"), L.held_out(doc).alias("held_out"), "lang_pred", "score", "n_words",
+                      F.greatest(F.size("runs") - 1, F.lit(0)).cast("long").alias("n_switches"))
