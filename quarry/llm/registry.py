@@ -52,3 +52,41 @@ def op4_language_crf(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("row.doc_id")
     return out.select(doc.alias("doc_id"), L.held_out(doc).alias("held_out"), "lang_pred", "score", "n_words",
                       F.greatest(F.size("runs") - 1, F.lit(0)).cast("long").alias("n_switches"))
+
+
+@query
+def op5_fm_index(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import decontaminate as D
+
+    out = D.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _word_list(column: str, word: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_UPPER.lower()}'), '{word}')"
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+ORACLE["op5_fm_index"] = f"""
+WITH d AS (SELECT doc_id, {_word_list('text', _ALNUM_WORD)} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_word_list('text', _ALNUM_WORD)} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[k:k + 9], ' ') AS phrase
+       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS phrase
+       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT doc_id, k, dw.size, item FROM dw JOIN iw ON dw.phrase = iw.phrase AND dw.size = iw.size),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)"""
