@@ -90,3 +90,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.llm import mixing as M
+    from quarry.session import materialize
+
+    rows = materialize(M.sized(table(spark, sf, "documents"), ["doc_id"]), "sized")
+    return M.mix(rows, M.targets(rows)).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op1_mix_sources"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, sum(size) AS source_size, 3 * sum(size) AS cap,
+             [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+level(n, l) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, (CAST(sum(source_size) AS DOUBLE) - coalesce(sum(CASE WHEN cap < l * w THEN cap END), 0))
+                / sum(CASE WHEN NOT cap < l * w THEN w END)
+  FROM level, s WHERE n < 30 GROUP BY n, l),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT l FROM level WHERE n = 30)) AS target FROM s),
+r AS (SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+             CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * least(3, whole + CASE WHEN 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END)
+            AS BIGINT) AS taken
+FROM r"""
