@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm import bytewords as B
 from quarry.llm.graph import components
@@ -371,3 +372,43 @@ def component_ids(members: DataFrame) -> DataFrame:
     return (members.join(small, "root", "left")
             .select("doc_id", F.col("n_shingles").cast("long"),
                     F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+                percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row
+    with the smallest id stays (null ids last); rows with an empty set stay.
+
+    Usually this is an anti join with the ids of the rows that go.  Rows whose
+    id is null or repeated are told apart by their class id."""
+    members = materialize(join(docs, id_col, text_col, k, percent)[0], "members")
+    full = members.where("root is not null")
+    best = full.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")).alias("b"))
+    best = materialize(best.select("root", F.col("b.doc_id").alias("kid"), F.col("b.cid").alias("kcid")), "kept")
+    unclear = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    gone = full.join(best, "root").where(~F.col("doc_id").eqNullSafe(F.col("kid"))).select("doc_id")
+    unclear, out = materialize(unclear, "unclear"), materialize(gone, "gone")
+    out = materialize(out.union(unclear).distinct(), "gone").withColumnRenamed("doc_id", "_gone")
+    key = F.col(f"`{id_col}`").cast("long")
+    small = F.broadcast(out) if out.count() <= BROADCAST_IDS else out  # 8 bytes a row; else a shuffled join
+    kept = docs.join(small, key.eqNullSafe(F.col("_gone")), "left_anti")
+    if unclear.isEmpty():
+        return kept
+    rows = docs.join(unclear.withColumnRenamed("doc_id", "_gone"), key.eqNullSafe(F.col("_gone")), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = rows.select(F.struct(*columns).alias("row"), key.alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in B.chunks(*B.texts(batch.column(2))):
+                cid = [class_id(s) if len(s) else None for s in shingle_sets(data, offsets, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
+                                                  pa.array(cid, pa.int64())], names=["row", "_id", "cid"])
+
+    shape = T.StructType([T.StructField("row", docs.schema), T.StructField("_id", T.LongType()),
+                          T.StructField("cid", T.LongType())])
+    tagged = rows.mapInArrow(run, shape)
+    first = (tagged.join(best, (F.col("cid") == F.col("kcid")) & F.col("_id").eqNullSafe(F.col("kid")))
+             .groupBy("cid").agg(F.first("row").alias("row")))
+    rest = first.select("row.*").union(tagged.where("cid is null").select("row.*"))
+    return kept.select(*columns).union(rest)
