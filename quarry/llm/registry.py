@@ -123,3 +123,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * least(3, whole + CASE WHEN 2 * before + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END)
             AS BIGINT) AS taken
 FROM r"""
+
+
+@query
+def op7_collision_search(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import collision_search as C
+
+    return C.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
