@@ -132,3 +132,20 @@ def op7_collision_search(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.llm import collision_search as C
 
     return C.search(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op6_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.llm import archives as A
+
+    return A.pages_through_archives(table(spark, sf, "pages"))
+
+
+ORACLE["op6_arc_to_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
+FROM r"""
