@@ -149,3 +149,88 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
 FROM r"""
+
+
+@query
+def op8_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is inserted with an estimate, revised to its exact word
+    count, inserted for a second tokenizer version, and deleted again when it
+    has fewer than five words; two batches are delivered twice."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from quarry.llm import token_rollup as T
+    from quarry.session import _app_folder, ensure_checkpoint_dir, materialize
+
+    d = table(spark, sf, "documents")
+    d = materialize(d.select("source", "lang", F.floor(F.coalesce("n_chars", F.lit(0)) / 6).alias("guess"),
+                             T.count_by_rule("text", "words-1").alias("w"), T.count_by_rule("text", "pieces-2").alias("p")),
+                    "counted")
+
+    def change(op: str, version: str, n: str, old: str | None = None):
+        return ["source", "lang", F.lit(version).alias("tokenizer"), F.lit(op).alias("op"), F.col(n).alias("n_tokens"),
+                (F.col(old) if old else F.lit(0).cast("long")).alias("old_tokens")]
+
+    roll = T.Rollup(spark, f"{_app_folder(spark, ensure_checkpoint_dir(spark).rstrip('/'))}/rollup-{uuid.uuid4().hex}")
+    short = d.where("w < 5")
+    batches = {"insert": d.select(*change("insert", "words-1", "guess")),
+               "revise": d.select(*change("revise", "words-1", "w", "guess")),
+               "second": d.select(*change("insert", "pieces-2", "p")),
+               "delete": short.select(*change("delete", "words-1", "w")).union(short.select(*change("delete", "pieces-2", "p")))}
+    for name in ("insert", "revise", "revise", "second", "delete", "insert"):
+        roll.commit(name, batches[name])
+    return roll.levels()
+
+
+ORACLE["op8_token_rollup"] = r"""
+WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+                  len(regexp_extract_all(coalesce(text, ''),
+                      '[A-Za-z]+|[0-9]|[^\x00-\x7F]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]')) AS p FROM documents),
+k AS (SELECT source, lang, 'words-1' AS tokenizer, w AS n FROM d WHERE w >= 5
+      UNION ALL SELECT source, lang, 'pieces-2', p FROM d WHERE w >= 5)
+SELECT source, lang, tokenizer, CAST(GROUPING(source, lang, tokenizer) AS INTEGER) AS level,
+       CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
+FROM k GROUP BY GROUPING SETS ((source, lang, tokenizer), (source, tokenizer), (tokenizer))"""
+
+
+@query
+def op10_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import line_templates as L
+
+    out = L.drop_recurring(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
+
+
+def _template_round(k: int) -> str:
+    """One round of the template tree in SQL: seed per leaf, then who joins it."""
+    return f"""
+seed{k} AS (SELECT leaf, sig AS ssig, tok AS stok FROM todo{k}
+            QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY d DESC, sig DESC) = 1),
+near{k} AS (SELECT leaf, sig, tok, d, ssig, list_sum(list_transform(range(1, len(tok) + 1),
+                   lambda i: CAST(tok[i] = stok[i] AS INTEGER))) >= CAST(0.7 AS DOUBLE) * len(tok) AS inside
+            FROM todo{k} JOIN seed{k} USING (leaf)),
+todo{k + 1} AS (SELECT leaf, sig, tok, d FROM near{k} WHERE NOT inside),"""
+
+
+ORACLE["op10_line_templates"] = rf"""
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM raw),
+toks AS (SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x09-\x0D\x20]+'), lambda t: t <> ''),
+                lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM lines),
+l AS (SELECT doc_id, pos, tok, array_to_string(tok, ' ') AS sig,
+             concat(len(tok), ' ', array_to_string(tok[1:3], ' ')) AS leaf FROM toks WHERE len(tok) > 0),
+big AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+todo0 AS (SELECT leaf, sig, any_value(tok) AS tok, count(DISTINCT doc_id) AS d
+          FROM l JOIN big USING (leaf) GROUP BY leaf, sig),{_template_round(0)}{_template_round(1)}{_template_round(2)}
+done AS (SELECT sig, ssig AS template FROM near0 WHERE inside UNION ALL SELECT sig, ssig FROM near1 WHERE inside
+         UNION ALL SELECT sig, ssig FROM near2 WHERE inside UNION ALL SELECT sig, sig FROM todo3),
+hot AS (SELECT template FROM l JOIN done USING (sig) GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM l JOIN done USING (sig) JOIN hot USING (template) GROUP BY doc_id)
+SELECT raw.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       md5(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+           list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: parts[i]),
+           chr(10)) END, '')) AS clean_md5
+FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id"""
