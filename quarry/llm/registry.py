@@ -234,3 +234,11 @@ SELECT raw.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coal
            list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(gone, i - 1)), lambda i: parts[i]),
            chr(10)) END, '')) AS clean_md5
 FROM raw LEFT JOIN gone ON raw.doc_id = gone.doc_id"""
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.llm import license_scan as S
+
+    docs = table(spark, sf, "documents")
+    return S.by_document(docs, S.train(docs))
