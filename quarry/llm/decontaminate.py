@@ -29,7 +29,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -264,7 +263,9 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: Sequen
                           T.StructField("items", T.ArrayType(T.StringType()))])
     inside = list(keep).index(text_col) if text_col in keep else None
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
-    given = docs.select(row, F.col(f"`{text_col}`").alias("_text")) if inside is None else docs.select(row)
+    # the same number for the same row in every pass over the same files
+    rid = F.monotonically_increasing_id().alias("rid")
+    given = docs.select(row, rid, F.col(f"`{text_col}`").alias("_text")) if inside is None else docs.select(row, rid)
     arrow_span = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
 
     def one_pass(block: int) -> DataFrame:
@@ -274,9 +275,8 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: Sequen
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = PhraseSet(*shared.value)
             names = pa.array(p.items, pa.string())
-            rid = TaskContext.get().partitionId() << 40
             for batch in batches:
-                col = batch.column(1) if inside is None else batch.column(0).field(inside)
+                col = batch.column(2) if inside is None else batch.column(0).field(inside)
                 for i, j, data, offsets in B.chunks(*B.texts(col)):
                     h, per = word_hashes(data, offsets)
                     hit, doc, item = find(p, h, per)
@@ -300,9 +300,8 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", keep: Sequen
                     found = pa.ListArray.from_arrays(
                         pa.array(np.concatenate([[0], np.cumsum(n_items)]).astype(np.int32)), names.take(pa.array(item)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid + np.arange(j - i)), batch.column(0).slice(i, j - i),
+                        [batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i),
                          pa.array(per.astype(np.int64)), spans, found], names=["rid", "row", "n_words", "spans", "items"])
-                    rid += j - i
 
         return given.mapInArrow(run, shape)
 
