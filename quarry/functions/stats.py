@@ -47,6 +47,13 @@ def clean_double(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A column whose NaN counts as missing (floating types only)."""
+    c = col_of(name)
+    floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return F.when(~F.isnan(c), c) if floating else c
+
+
 def rnd(c: Column, digits: int = 6) -> Column:
     """Round a double for cross-engine comparison (last-bit sum differences)."""
     return F.round(c.cast("double"), digits)
@@ -61,7 +68,3 @@ def pearson(x: Column, y: Column) -> Column:
     xp = F.when(both, xd)
     yp = F.when(both, yd)
     return F.try_divide(F.covar_pop(xp, yp), F.sqrt(F.var_pop(xp) * F.var_pop(yp)))
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)

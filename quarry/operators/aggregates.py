@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import clean_double, col_of, is_datetime, is_numeric, numeric_columns, pearson
+from quarry.functions.stats import clean_double, col_of, is_datetime, is_numeric, numeric_columns, pearson, present
 from quarry.operators.order import column_quantiles, exact_quantiles, join_small, with_position
 
 AGGS = ("sum", "mean", "count", "max", "min")
@@ -61,7 +61,7 @@ def group_agg(df: DataFrame, keys: Sequence[str], value: str, fns: Sequence[str]
     names = list(names or [f"{fn}_{value}" for fn in fns])
     src = _nonnull_keys(df, keys)
     return src.groupBy(*[col_of(k) for k in keys]).agg(
-        *[agg_expr(fn, col_of(value)).alias(nm) for fn, nm in zip(fns, names)])
+        *[agg_expr(fn, present(df, value)).alias(nm) for fn, nm in zip(fns, names)])
 
 
 # --- A3, A4 ---------------------------------------------------------------------
@@ -72,7 +72,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def category_totals(df: DataFrame, column: str, value: str, share: bool = True) -> DataFrame:
     """Totals per category plus share of the grand total (A4).  The grand
     total is a one-row aggregate broadcast onto the groups."""
-    g = _nonnull_keys(df, [column]).groupBy(col_of(column)).agg(F.sum(col_of(value)).alias("total"))
+    g = _nonnull_keys(df, [column]).groupBy(col_of(column)).agg(F.sum(present(df, value)).alias("total"))
     if not share:
         return g
     tot = g.agg(F.sum("total").alias("_grand"))
@@ -87,7 +87,7 @@ def rollup_totals(df: DataFrame, path: Sequence[str], value: str | None = None)
     Rows with a null path member are dropped first (as the reference's
     group-by drops them)."""
     src = _nonnull_keys(df, path)
-    m = F.sum(col_of(value)) if value else F.count(F.lit(1))
+    m = F.sum(present(df, value)) if value else F.count(F.lit(1))
     return src.rollup(*[col_of(p) for p in path]).agg(
         m.alias("total"), F.grouping_id().alias("level"))
 
@@ -120,7 +120,7 @@ def metric_cards(df: DataFrame, cards: Sequence[tuple[str, str, str]]) -> DataFr
     non-null values."""
     exprs = []
     for name, column, fn in cards:
-        e = agg_expr(fn, col_of(column)) if fn in ("sum", "mean", "max") else F.count(col_of(column))
+        e = agg_expr(fn if fn in ("sum", "mean", "max") else "count", present(df, column))
         exprs.append(e.alias(name))
     return df.agg(*exprs)
 
@@ -323,8 +323,8 @@ def dist_insight(df: DataFrame, column: str) -> DataFrame:
     return m.crossJoin(med).select("mean", "median", "std")
 
 
-def summary_means(df: DataFrame, k: int = 5) -> DataFrame:
-    """Means of the first ``k`` numeric columns (A17), long form."""
+def summary_means(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Means of the numeric columns (A17), or the first ``k``; long form."""
     cols = numeric_columns(df)[:k]
     return _unpivot_stats(df, cols, [("mean", F.avg)])
 
@@ -403,8 +403,8 @@ def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return m.where(idx[F.col("x")] < idx[F.col("y")])
 
 
-def top_corr_pairs(df: DataFrame, k_cols: int = 6, top: int = 8) -> DataFrame:
-    """Top pairs by |r| over the first ``k_cols`` numeric columns."""
+def top_corr_pairs(df: DataFrame, k_cols: int | None = None, top: int = 8) -> DataFrame:
+    """Top pairs by |r| over the numeric columns (A19), or the first ``k_cols``."""
     cols = numeric_columns(df)[:k_cols]
     return corr_pairs(df, cols).where(F.col("r").isNotNull()).orderBy(
         F.desc(F.abs("r")), "x", "y").limit(top)

@@ -38,7 +38,7 @@ def _label(x: Column, cuts) -> Column:
 
 
 def recommendation(significant: Column, b_better: Column) -> Column:
-    return F.when(~significant, NOT_SIG).when(b_better, B_BETTER).otherwise(A_BETTER)
+    return F.when(~F.coalesce(significant, F.lit(False)), NOT_SIG).when(b_better, B_BETTER).otherwise(A_BETTER)
 
 
 # --- X1 ---------------------------------------------------------------------------
@@ -103,7 +103,7 @@ def t_test(frame: DataFrame, equal_var: bool = True, alpha: float = 0.05, with_p
     out = out.withColumn("effect_size_interpretation", _label(F.abs("cohens_d"), D_CUTS))
     if with_p:
         out = out.withColumn("p_value", dist.t_pvalue(F.col("t_statistic"), F.col("df")))
-        out = out.withColumn("is_significant", F.col("p_value") < alpha)
+        out = out.withColumn("is_significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
         out = out.withColumn("recommendation", recommendation(
             F.col("is_significant"), F.col("variant_b_mean") > F.col("variant_a_mean")))
     return out
@@ -234,34 +234,38 @@ def confidence_interval(frame: DataFrame, confidence: float = 0.95) -> DataFrame
 
 
 # --- X7 ---------------------------------------------------------------------------
-def sequential_t(frame: DataFrame, order_by: Sequence[str], max_observations: int = 10000) -> DataFrame:
+def sequential_t(frame: DataFrame, order_by: Sequence[str], max_observations: int | None = None) -> DataFrame:
     """Pooled t statistic of the first n observations of A against the
     first n of B, for n = 2 .. min(nA, nB, max_observations) - 1 (X7).
 
     O(n) instead of re-testing every prefix: positions per variant come from
-    the distributed position helper (a hot experiment is cut across range
-    partitions), the two variants are zipped on position, and running sums
-    give every prefix's means and variances.  The running window per
-    experiment sees at most ``max_observations`` rows."""
+    the distributed position helper, the two variants are zipped on position,
+    and running sums from the distributed cumulative sum give every prefix's
+    means and variances, so a hot experiment stays cut across partitions.
+    Values are shifted by the experiment's mean first: large offsets do not
+    cancel."""
     pos = with_position(frame, list(order_by), by=["experiment", "variant"], pos_col="_p0", n_col=None)
-    pos = pos.withColumn("pos", F.col("_p0") + 1).where(F.col("pos") <= max_observations)
+    pos = pos.withColumn("pos", F.col("_p0") + 1)
+    if max_observations is not None:
+        pos = pos.where(F.col("pos") <= max_observations)
     a = pos.where("variant = 'A'").select("experiment", "pos", F.col("value").alias("a"))
     b = pos.where("variant = 'B'").select("experiment", "pos", F.col("value").alias("b"))
     z = a.join(b, ["experiment", "pos"])
-    lim = z.groupBy("experiment").agg(F.max("pos").alias("_m"))
-    run = Window.partitionBy("experiment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    s = z.select("experiment", "pos", F.sum("a").over(run).alias("sa"), F.sum(F.col("a") ** 2).over(run).alias("saa"),
-                 F.sum("b").over(run).alias("sb"), F.sum(F.col("b") ** 2).over(run).alias("sbb"))
-    s = s.join(lim, ["experiment"]).where((F.col("pos") >= 2) & (F.col("pos") < F.col("_m")))
+    lim = z.groupBy("experiment").agg(F.max("pos").alias("_m"), F.avg((F.col("a") + F.col("b")) / 2).alias("_mean"))
+    z = join_small(z, lim, ["experiment"])
+    z = z.withColumn("a", F.col("a") - F.col("_mean")).withColumn("b", F.col("b") - F.col("_mean"))
+    z = z.select("experiment", "pos", "_m", "a", "b", (F.col("a") ** 2).alias("aa"), (F.col("b") ** 2).alias("bb"))
+    s = cumulative_sum(z, ["pos"], ["a", "b", "aa", "bb"], by=["experiment"], prefix="s")
+    s = s.where((F.col("pos") >= 2) & (F.col("pos") < F.col("_m")))
     n = F.col("pos").cast("double")
     va = (F.col("saa") - F.col("sa") ** 2 / n) / (n - 1)
     vb = (F.col("sbb") - F.col("sb") ** 2 / n) / (n - 1)
-    t = F.try_divide(F.col("sa") / n - F.col("sb") / n, F.sqrt((va + vb) / 2 * (2 / n)))
+    t = F.try_divide(F.col("sa") / n - F.col("sb") / n, F.sqrt(F.greatest((va + vb) / 2 * (2 / n), F.lit(0.0))))
     return s.select("experiment", F.col("pos").cast("bigint").alias("n"), t.alias("t_statistic"))
 
 
 def sequential_test(frame: DataFrame, order_by: Sequence[str], alpha: float = 0.05,
-                    max_observations: int = 10000) -> DataFrame:
+                    max_observations: int | None = None) -> DataFrame:
     """First n whose prefix test has p < alpha, else the number of looks
     (the reference reports looks, not n, when nothing is significant)."""
     ts = sequential_t(frame, order_by, max_observations)
@@ -296,7 +300,8 @@ def anova(df: DataFrame, group: str, value: str, experiment: str | None = None,
         F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("ssb"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"),
         F.first("n_total").alias("n_total"), F.first("k").alias("k"))
-    f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n_total") - F.col("k")))
+    # one variant, or one observation each: no statistic
+    f = F.try_divide(F.try_divide(F.col("ssb"), F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n_total") - F.col("k")))
     out = per.select("experiment", F.col("k").cast("bigint").alias("num_variants"),
                      F.col("n_total").cast("bigint").alias("n"), f.alias("f_statistic"))
     if with_p:
@@ -306,12 +311,6 @@ def anova(df: DataFrame, group: str, value: str, experiment: str | None = None,
     return out
 
 
-def variant_means(df: DataFrame, group: str, value: str, experiment: str | None = None) -> DataFrame:
-    ex = col_of(experiment).cast("string") if experiment else F.lit("all")
-    return df.where(col_of(group).isNotNull()).groupBy(ex.alias("experiment"), col_of(group).cast("string").alias("variant")) \
-             .agg(F.avg(clean_double(col_of(value))).alias("mean"))
-
-
 # --- X9 ---------------------------------------------------------------------------
 def overview(frame: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Experiment listing: summary per experiment left-joined to stored

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stats import DATETIME_TYPES, NUMERIC_TYPES, col_of
+from quarry.session import materialize
 
 
 def _dtype(df: DataFrame, column: str) -> T.DataType:
@@ -80,11 +81,7 @@ def filter_multi(df: DataFrame, in_filters: Mapping[str, Iterable] | None = None
     return df.where(reduce(lambda a, b: a & b, preds))
 
 
-# --- P5, P6 -----------------------------------------------------------------
-def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(subset))
-
-
+# --- P6 ---------------------------------------------------------------------
 def valid_points(df: DataFrame, lat: str, lon: str) -> DataFrame:
     """Non-null coordinates inside [-90,90] x [-180,180]."""
     return df.where(col_of(lat).isNotNull() & col_of(lon).isNotNull()
@@ -114,21 +111,18 @@ def sample_n(df: DataFrame, n: int, order_by: Sequence[str], seed: int = 42) ->
     exact n; sampling is the feature here, so the limit is part of the
     semantics.
 
-    Every row gets a seeded hash key u in [0, 1); the sample is the n rows
-    with the smallest u.  To keep the final top-n merge small, rows are first
-    cut at a threshold that lets about n plus ten standard deviations through;
-    when at least n rows pass (checked), the n smallest among them are the n
-    smallest overall, otherwise the plain top-n over all rows is used."""
-    h = F.xxhash64(F.lit(seed), *[col_of(c) for c in df.columns])
-    keyed = df.withColumn("_u", h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53))
+    Every row draws its own seeded key u in [0, 1), so equal rows are drawn
+    independently.  Rows under a threshold that lets about n plus ten standard
+    deviations through are pinned, and the n smallest of them are the sample;
+    should fewer than n pass, a new draw has twice the threshold."""
     total = df.count()
-    if total <= n:
-        return df.orderBy(*order_by)
-    thr = min(1.0, (n + 10.0 * math.sqrt(n) + 10.0) / total)
-    cand = keyed.where(F.col("_u") < thr)
-    src = cand if cand.count() >= n else keyed
-    picked = src.orderBy("_u", *order_by).limit(n).drop("_u")
-    return picked.orderBy(*order_by)
+    share = min(1.0, (n + 10.0 * math.sqrt(n) + 10.0) / max(1, total))
+    while True:
+        drawn = materialize(df.withColumn("_u", F.rand(seed)).where(F.col("_u") < share), "drawn")
+        if share >= 1.0 or drawn.count() >= n:
+            break
+        share = min(1.0, 2 * share)
+    return drawn.orderBy("_u", *order_by).limit(n).drop("_u").orderBy(*order_by)
 
 
 # --- P10, P11 ---------------------------------------------------------------

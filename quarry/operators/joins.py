@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stats import col_of
 from quarry.operators.order import join_small
-
-GEO_LAT = "dv_latitude"
-GEO_LON = "dv_longitude"
+from quarry.operators.profile import GEO_LAT, GEO_LON
 
 
 def attach_coordinates(df: DataFrame, place_col: str, lookup: DataFrame, lat_name: str = GEO_LAT,
@@ -21,9 +19,10 @@ def attach_coordinates(df: DataFrame, place_col: str, lookup: DataFrame, lat_nam
     """Add latitude / longitude from a lookup table ``(place, lat, lon)``
     keyed by the trimmed text of ``place_col`` (J1).  Unmatched or null
     places get nulls.  The lookup must be unique on ``place``; it is
-    de-duplicated (first by place text) to keep the row count."""
+    de-duplicated (smallest coordinates of a place) to keep the row count."""
     lk = (lookup.select(F.trim(F.col("place").cast("string")).alias("_place"),
-                        F.col("lat").cast("double").alias(lat_name), F.col("lon").cast("double").alias(lon_name))
-                .groupBy("_place").agg(F.first(lat_name).alias(lat_name), F.first(lon_name).alias(lon_name)))
+                        F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("p"))
+                .groupBy("_place").agg(F.min("p").alias("p"))
+                .select("_place", F.col("p.lat").alias(lat_name), F.col("p.lon").alias(lon_name)))
     keyed = df.withColumn("_place", F.trim(col_of(place_col).cast("string")))
     return join_small(keyed, lk, ["_place"], "left").drop("_place")

@@ -1,39 +1,21 @@
-"""Time series, many in parallel.
+"""Time series, many in parallel.
 
-Re-aim: a table ``(series, ts, value)`` holds any number of series.  Spark
-does the heavy part - parsing, de-duplication, aggregation to a regular grid
-and the decomposition's windows; model fits run per series in
-``applyInPandas``.  A group there is one series *after* grid aggregation, so
-its length is bounded by the number of time buckets (days), not by the rows
-behind them.
-
-Fits are small numpy routines (no statsmodels here); each states how it
-differs from the library the reference calls:
-* ADF: same regression and AIC lag search; p from MacKinnon's response
-  surface (constants below).
-* ARIMA(p=1,d=1,q=1): conditional sum of squares, not exact likelihood.
-* Holt / Holt-Winters: grid search of the smoothing weights, simple start
-  values (first value, first difference, first-season means).
-* Seasonal regression: linear trend + yearly + weekly Fourier terms by least
-  squares; stands in for the Bayesian trend/seasonality model.
+A table ``(series, ts, value)`` holds any number of series.  Parsing,
+de-duplication, aggregation to a regular grid and the decomposition's windows
+are Spark operations.  Model fits (T3-T7) are not built: they would be a local
+statistics library behind one grouped UDF.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import clean_double, col_of
 from quarry.sources.io import parse_timestamp
 
-Z95 = 1.959963984540054
-
-
 # --- T1 ---------------------------------------------------------------------------
 def prepare(df: DataFrame, date_col: str, value_col: str, order_by: Sequence[str],
             series: str | None = None) -> DataFrame:
@@ -84,292 +66,3 @@ def decompose(ts: DataFrame, period: int = 12) -> DataFrame:
     out = x.join(ph.select("series", "phase", "seasonal"), ["series", "phase"])
     return out.select("series", "ts", F.col("value").alias("observed"), "trend", "seasonal",
                       (F.col("value") - F.col("trend") - F.col("seasonal")).alias("resid"))
-
-
-# --- per-series numpy fits ----------------------------------------------------------
-# MacKinnon (1994, 2010) response-surface constants for the
-# Dickey-Fuller test with a constant and one variable.
-TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61
-TAU_SMALLP = (2.1659, 1.4412, 0.038269)
-TAU_LARGEP = (1.7339, 0.93202, -0.12745, -0.010368)
-TAU_CRIT = {"1%": (-3.43035, -6.5393, -16.786, -79.433),
-            "5%": (-2.86154, -2.8903, -4.234, -40.040),
-            "10%": (-2.56677, -1.5384, -2.809, 0.0)}
-
-
-def _ncdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2.0))
-
-
-def mackinnon_p(stat: float) -> float:
-    if stat > TAU_MAX:
-        return 1.0
-    if stat < TAU_MIN:
-        return 0.0
-    coef = TAU_SMALLP if stat <= TAU_STAR else TAU_LARGEP
-    return _ncdf(sum(c * stat ** i for i, c in enumerate(coef)))
-
-
-def _ols(y, X):
-    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    n, k = X.shape
-    ssr = float(resid @ resid)
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1) if ssr > 0 else float("inf")
-    return beta, resid, ssr, llf, n, k
-
-
-def _adf_design(x, dx, lag):
-    nobs = len(dx) - lag
-    cols = [x[lag:lag + nobs]] + [dx[lag - j:lag - j + nobs] for j in range(1, lag + 1)]
-    X = np.column_stack([np.ones(nobs)] + cols)
-    return dx[lag:], X
-
-
-def adf_test(values: np.ndarray) -> dict:
-    """Augmented Dickey-Fuller with a constant; lag chosen by AIC from
-    12 * (n/100)^(1/4) down (T3)."""
-    x = np.asarray(values, dtype=float)
-    x = x[~np.isnan(x)]
-    n = len(x)
-    maxlag = min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
-    if maxlag < 0 or n < 6:
-        return {"adf_statistic": None, "p_value": None, "used_lag": None, "nobs": n}
-    dx = np.diff(x)
-    best, best_lag = None, 0
-    # search on a common sample (the one of the longest lag)
-    y_full, X_full = _adf_design(x, dx, maxlag)
-    for lag in range(0, maxlag + 1):
-        _, _, _, llf, m, k = _ols(y_full, X_full[:, :2 + lag])
-        aic = -2 * llf + 2 * k
-        if best is None or aic < best:
-            best, best_lag = aic, lag
-    y, X = _adf_design(x, dx, best_lag)
-    beta, resid, ssr, _, m, k = _ols(y, X)
-    sigma2 = ssr / (m - k)
-    cov = sigma2 * np.linalg.pinv(X.T @ X)
-    stat = float(beta[1] / math.sqrt(cov[1, 1])) if cov[1, 1] > 0 else float("nan")
-    crit = {k_: sum(c / m ** i for i, c in enumerate(v)) for k_, v in TAU_CRIT.items()}
-    p = mackinnon_p(stat) if math.isfinite(stat) else None
-    return {"adf_statistic": stat, "p_value": p, "used_lag": best_lag, "nobs": m,
-            "crit_1": crit["1%"], "crit_5": crit["5%"], "crit_10": crit["10%"]}
-
-
-def _arima_css(w: np.ndarray, phi: float, theta: float) -> tuple[float, np.ndarray]:
-    e = np.zeros(len(w))
-    for t in range(1, len(w)):
-        e[t] = w[t] - phi * w[t - 1] - theta * e[t - 1]
-    return float(e[1:] @ e[1:]), e
-
-
-def arima111(y: np.ndarray, periods: int) -> dict:
-    """ARIMA(1,1,1) by conditional sum of squares (T4)."""
-    y = np.asarray(y, dtype=float)
-    w = np.diff(y)
-    grid = np.linspace(-0.95, 0.95, 39)
-    best = (float("inf"), 0.0, 0.0)
-    for p in grid:
-        for q in grid:
-            s, _ = _arima_css(w, p, q)
-            if s < best[0]:
-                best = (s, p, q)
-    step = 0.05
-    _, phi, theta = best
-    while step > 1e-4:  # pattern search around the grid optimum
-        moved = False
-        for dp, dq in ((step, 0), (-step, 0), (0, step), (0, -step)):
-            p2, q2 = phi + dp, theta + dq
-            if abs(p2) < 0.999 and abs(q2) < 0.999:
-                s, _ = _arima_css(w, p2, q2)
-                if s < best[0]:
-                    best, phi, theta, moved = (s, p2, q2), p2, q2, True
-        if not moved:
-            step /= 2
-    ssr, e = _arima_css(w, phi, theta)
-    m = max(len(w) - 1, 1)
-    sigma2 = ssr / m
-    # forecasts of the differences, then integrate
-    fw, last_w, last_e = [], w[-1], e[-1]
-    for h in range(periods):
-        nxt = phi * last_w + (theta * last_e if h == 0 else 0.0)
-        fw.append(nxt)
-        last_w = nxt
-    fc = y[-1] + np.cumsum(fw)
-    # psi weights of (1 + theta B) / ((1 - phi B)(1 - B))
-    psi_w = [1.0, phi + theta]
-    for _ in range(2, periods):
-        psi_w.append(phi * psi_w[-1])
-    psi_y = np.cumsum(psi_w[:periods])
-    se = np.sqrt(sigma2 * np.cumsum(psi_y ** 2))
-    k = 3
-    return {"phi": phi, "theta": theta, "sigma2": sigma2, "forecast": fc, "lower": fc - Z95 * se,
-            "upper": fc + Z95 * se, "mae": float(np.mean(np.abs(e[1:]))), "rmse": float(math.sqrt(np.mean(e[1:] ** 2))),
-            "aic": m * math.log(sigma2) + 2 * k if sigma2 > 0 else None,
-            "bic": m * math.log(sigma2) + k * math.log(m) if sigma2 > 0 else None}
-
-
-def _holt_sse(y, a, b, season=None, g=None):
-    if season:
-        L = season
-        level = float(np.mean(y[:L]))
-        trend = float((np.mean(y[L:2 * L]) - np.mean(y[:L])) / L)
-        seas = list(y[:L] - level)
-        sse = 0.0
-        for t in range(L, len(y)):
-            s = seas[t - L]
-            pred = level + trend + s
-            sse += (y[t] - pred) ** 2
-            new_level = a * (y[t] - s) + (1 - a) * (level + trend)
-            trend = b * (new_level - level) + (1 - b) * trend
-            seas.append(g * (y[t] - new_level) + (1 - g) * s)
-            level = new_level
-        return sse, level, trend, seas
-    level, trend = y[0], y[1] - y[0]
-    sse = 0.0
-    for t in range(1, len(y)):
-        pred = level + trend
-        sse += (y[t] - pred) ** 2
-        new_level = a * y[t] + (1 - a) * pred
-        trend = b * (new_level - level) + (1 - b) * trend
-        level = new_level
-    return sse, level, trend, None
-
-
-def holt(y: np.ndarray, periods: int, seasonal: bool = False, season: int = 12) -> dict:
-    """Additive-trend exponential smoothing; additive season ``season`` when
-    asked and the series is longer than two seasons (T5)."""
-    y = np.asarray(y, dtype=float)
-    use_season = bool(seasonal) and len(y) > 2 * season
-    grid = np.linspace(0.05, 0.95, 19)
-    best = None
-    for a in grid:
-        for b in grid:
-            for g in (grid if use_season else [None]):
-                r = _holt_sse(y, a, b, season if use_season else None, g)
-                if best is None or r[0] < best[0][0]:
-                    best = (r, a, b, g)
-    (sse, level, trend, seas), a, b, g = best
-    h = np.arange(1, periods + 1)
-    fc = level + h * trend
-    if use_season:
-        n = len(y)
-        fc = fc + np.array([seas[n - season + ((k - 1) % season)] for k in h])
-    return {"forecast": fc, "smoothing_level": float(a), "smoothing_trend": float(b),
-            "smoothing_seasonal": None if g is None else float(g), "sse": float(sse)}
-
-
-def seasonal_regression(ts: pd.Series, periods: int, yearly: int = 10, weekly: int = 3) -> dict:
-    """Linear trend + yearly + weekly Fourier terms, normal 95 % band."""
-    t0 = ts.index[0]
-    days = np.asarray((ts.index - t0) / pd.Timedelta(days=1), dtype=float)
-    step = float(np.median(np.diff(days))) if len(days) > 1 else 1.0
-    fut = days[-1] + step * np.arange(1, periods + 1)
-
-    def design(d):
-        cols = [np.ones_like(d), d / max(days[-1], 1.0)]
-        for k in range(1, yearly + 1):
-            cols += [np.sin(2 * np.pi * k * d / 365.25), np.cos(2 * np.pi * k * d / 365.25)]
-        for k in range(1, weekly + 1):
-            cols += [np.sin(2 * np.pi * k * d / 7.0), np.cos(2 * np.pi * k * d / 7.0)]
-        return np.column_stack(cols)
-
-    X = design(days)
-    y = ts.to_numpy(dtype=float)
-    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    sd = float(np.sqrt(resid @ resid / max(len(y) - X.shape[1], 1)))
-    fc = design(fut) @ beta
-    return {"ts": t0 + pd.to_timedelta(fut, unit="D"), "forecast": fc, "lower": fc - Z95 * sd, "upper": fc + Z95 * sd}
-
-
-# --- Spark wrappers ---------------------------------------------------------------------
-ADF_SCHEMA = ("series string, adf_statistic double, p_value double, used_lag int, nobs int, crit_1 double, "
-              "crit_5 double, crit_10 double, stationary boolean")
-FORECAST_SCHEMA = "series string, model string, step int, forecast double, lower double, upper double"
-METRIC_SCHEMA = "series string, model string, mae double, rmse double, aic double, bic double, smoothing_level double"
-
-
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values("ts").dropna(subset=["value"])
-
-
-def adf(ts: DataFrame) -> DataFrame:
-    """Stationarity per series (T3): stationary = p < 0.05."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = adf_test(_sorted(pdf)["value"].to_numpy())
-        p = r.get("p_value")
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], **{k: r.get(k) for k in
-                              ("adf_statistic", "p_value", "used_lag", "nobs", "crit_1", "crit_5", "crit_10")},
-                              "stationary": None if p is None else bool(p < 0.05)}])
-    return ts.groupBy("series").applyInPandas(fn, ADF_SCHEMA)
-
-
-def arima_forecast(ts: DataFrame, periods: int = 30) -> DataFrame:
-    """ARIMA(1,1,1) forecast with 95 % bounds per series (T4)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _sorted(pdf)["value"].to_numpy()
-        if len(y) < 5:
-            return pd.DataFrame(columns=["series", "model", "step", "forecast", "lower", "upper"])
-        r = arima111(y, periods)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "model": "ARIMA", "step": np.arange(1, periods + 1),
-                             "forecast": r["forecast"], "lower": r["lower"], "upper": r["upper"]})
-    return ts.groupBy("series").applyInPandas(fn, FORECAST_SCHEMA)
-
-
-def arima_metrics(ts: DataFrame) -> DataFrame:
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _sorted(pdf)["value"].to_numpy()
-        if len(y) < 5:
-            return pd.DataFrame(columns=["series", "model", "mae", "rmse", "aic", "bic", "smoothing_level"])
-        r = arima111(y, 1)
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], "model": "ARIMA", "mae": r["mae"], "rmse": r["rmse"],
-                              "aic": r["aic"], "bic": r["bic"], "smoothing_level": None}])
-    return ts.groupBy("series").applyInPandas(fn, METRIC_SCHEMA)
-
-
-def holt_forecast(ts: DataFrame, periods: int = 30, seasonal: bool = False) -> DataFrame:
-    """Exponential smoothing forecast per series (T5)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _sorted(pdf)["value"].to_numpy()
-        if len(y) < 3:
-            return pd.DataFrame(columns=["series", "model", "step", "forecast", "lower", "upper"])
-        r = holt(y, periods, seasonal)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "model": "Exponential Smoothing",
-                             "step": np.arange(1, periods + 1), "forecast": r["forecast"],
-                             "lower": np.nan, "upper": np.nan})
-    return ts.groupBy("series").applyInPandas(fn, FORECAST_SCHEMA)
-
-
-def seasonal_forecast(ts: DataFrame, periods: int = 30) -> DataFrame:
-    """Trend + seasonality regression forecast for the next ``periods``
-    buckets with a 95 % band (T6)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = _sorted(pdf).set_index("ts")["value"]
-        if len(s) < 3:
-            return pd.DataFrame(columns=["series", "ts", "forecast", "lower", "upper"])
-        r = seasonal_regression(s, periods)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "ts": r["ts"], "forecast": r["forecast"],
-                             "lower": r["lower"], "upper": r["upper"]})
-    return ts.groupBy("series").applyInPandas(fn, "series string, ts timestamp_ntz, forecast double, "
-                                                   "lower double, upper double")
-
-
-def compare_models(ts: DataFrame, test_size: float = 0.2) -> DataFrame:
-    """Hold out the last part of each series (split at int(n * 0.8)), fit
-    ARIMA and exponential smoothing on the rest, score MAE / RMSE; best =
-    lowest MAE (T7)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = _sorted(pdf)["value"].to_numpy()
-        cut = int(len(y) * (1 - test_size))
-        train, test = y[:cut], y[cut:]
-        rows = []
-        if len(train) >= 5 and len(test) > 0:
-            for name, fc in (("ARIMA", arima111(train, len(test))["forecast"]),
-                             ("Exponential Smoothing", holt(train, len(test))["forecast"])):
-                err = test - fc[:len(test)]
-                rows.append({"series": pdf["series"].iloc[0], "model": name, "mae": float(np.mean(np.abs(err))),
-                             "rmse": float(math.sqrt(np.mean(err ** 2)))})
-        out = pd.DataFrame(rows, columns=["series", "model", "mae", "rmse"])
-        out["best"] = out["mae"] == out["mae"].min() if len(out) else []
-        return out
-    return ts.groupBy("series").applyInPandas(fn, "series string, model string, mae double, rmse double, best boolean")

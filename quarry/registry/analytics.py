@@ -34,18 +34,17 @@ _TYPES = {
 
 
 def _role_sql(table, c, kind):
-    nl = R.norm_name(c)
     if kind == "num":
-        if R.is_lat_name(nl):
+        if R.name_means(c, "latitude"):
             return "'latitude'"
-        if R.is_lon_name(nl):
+        if R.name_means(c, "longitude"):
             return "'longitude'"
         return f"CASE WHEN count(DISTINCT {c}) <= 12 AND count(*) < 5000 THEN 'numeric_code' ELSE 'numeric_measure' END"
     if kind == "ts":
         return "'datetime'"
-    ident = any(h in nl for h in R.ID_HINTS)
+    ident = R.name_means(c, "identifier")
     head = f"WHEN {str(ident).upper()} AND count(DISTINCT {c}) >= greatest(3, count(*) * 0.85) THEN 'identifier' "
-    if R.is_location_name(nl):
+    if R.name_means(c, "place"):
         return f"CASE {head}ELSE 'location_text' END"
     return (f"CASE {head}WHEN count({c}) = 0 THEN 'mostly_empty' "
             f"WHEN avg(length({c})) > 48 AND count(DISTINCT {c}) > least(50, count(*) * 0.2) THEN 'free_text' "
@@ -97,7 +96,7 @@ def _anom_counts_sql(table, cols):
 
 @q("anomaly_counts", _anom_counts_sql("events", NUMERIC["events"]))
 def anomaly_counts(spark, sf):
-    return round_all(R.anomaly_counts(t(spark, sf, "events"), 6))
+    return round_all(R.anomaly_counts(t(spark, sf, "events")))
 
 
 def _corr_pairs_sql(table, cols):
@@ -107,9 +106,9 @@ def _corr_pairs_sql(table, cols):
 
 @q("auto_summary", f"""
 SELECT 'anomaly' AS kind, "column" AS a, '' AS b, round(CAST(anomaly_rows AS DOUBLE), 6) AS value
-  FROM ({_anom_counts_sql("lineitem", NUMERIC["lineitem"][:6])})
+  FROM ({_anom_counts_sql("lineitem", NUMERIC["lineitem"])})
 UNION ALL
-SELECT 'corr', x, y, round(r, 6) FROM (SELECT * FROM ({_corr_pairs_sql("lineitem", NUMERIC["lineitem"][:6])})
+SELECT 'corr', x, y, round(r, 6) FROM (SELECT * FROM ({_corr_pairs_sql("lineitem", NUMERIC["lineitem"])})
   WHERE r IS NOT NULL ORDER BY abs(r) DESC, x, y LIMIT 8)
 UNION ALL
 SELECT 'role', role, '', round(CAST(count(*) AS DOUBLE), 6) FROM (
@@ -132,7 +131,9 @@ SELECT "column", round(slope, 6) AS slope, CASE WHEN slope > 0 THEN 'increasing'
        coalesce(abs(slope) > 0.01, FALSE) AS reported FROM (
   SELECT 'o_orderkey' AS "column", regr_slope(coalesce(CAST(o_orderkey AS DOUBLE), 0), pos) AS slope FROM p
   UNION ALL
-  SELECT 'o_custkey', regr_slope(coalesce(CAST(o_custkey AS DOUBLE), 0), pos) FROM p)""")
+  SELECT 'o_custkey', regr_slope(coalesce(CAST(o_custkey AS DOUBLE), 0), pos) FROM p
+  UNION ALL
+  SELECT 'o_totalprice', regr_slope(coalesce(o_totalprice, 0), pos) FROM p)""")
 def trend_slope(spark, sf):
     return R.trend_slopes(t(spark, sf, "orders"), "o_orderdate", ["o_orderkey"]).withColumn("slope", r("slope"))
 
@@ -264,15 +265,15 @@ SELECT * FROM (VALUES (1, 'line', 'Time Series: o_orderkey over time', 'high'),
   (4, 'bar', 'o_orderstatus vs o_orderkey', 'high'), (5, 'box', 'Outlier Detection: o_orderkey by o_orderstatus', 'medium'),
   (6, 'scatter', 'o_orderkey vs o_custkey', 'medium'), (7, 'pie', 'Distribution of o_orderstatus', 'medium'),
   (8, 'scatter_3d', '3D Scatter Plot Analysis', 'low')) v(rank, chart_type, title, priority)
-JOIN (SELECT 1 AS rank, CAST(least(count(*), 10000) AS BIGINT) AS result_rows FROM orders
+JOIN (SELECT 1 AS rank, CAST(count(*) AS BIGINT) AS result_rows FROM orders
   UNION ALL SELECT 2, CAST(count(DISTINCT CASE WHEN mx = mn THEN 1 ELSE least(floor((o_orderkey - mn) / (mx - mn) * 30) + 1, 30) END) AS BIGINT)
     FROM orders, (SELECT min(o_orderkey) AS mn, max(o_orderkey) AS mx FROM orders) m WHERE o_orderkey IS NOT NULL
   UNION ALL SELECT 3, CAST(9 AS BIGINT)
   UNION ALL SELECT 4, CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
   UNION ALL SELECT 5, CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
-  UNION ALL SELECT 6, CAST(least(count(*), 10000) AS BIGINT) FROM orders
+  UNION ALL SELECT 6, CAST(count(*) AS BIGINT) FROM orders
   UNION ALL SELECT 7, CAST(count(DISTINCT o_orderstatus) AS BIGINT) FROM orders
-  UNION ALL SELECT 8, CAST(least(count(*), 10000) AS BIGINT) FROM orders) c USING (rank)""")
+  UNION ALL SELECT 8, CAST(count(*) AS BIGINT) FROM orders) c USING (rank)""")
 def chart_recommendations(spark, sf):
     return PL.recommendation_tables(t(spark, sf, "orders"), ["o_orderkey"])
 
@@ -310,10 +311,84 @@ def line_series(spark, sf):
     return out.withColumn("sum_o_totalprice", r("sum_o_totalprice", 2))
 
 
-@q("scatter_points")
+@q("scatter_points", "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem")
 def scatter_points(spark, sf):
     spec = {"chart_type": "scatter", "x_column": "l_quantity", "y_column": "l_extendedprice",
             "color_column": "l_returnflag"}
     return PL.run_spec(t(spark, sf, "lineitem"), spec, LINEITEM_ORDER)
 
 
+# ------------------------------------------------------------ one key per chart type, on values (Q1)
+@q("spec_pie", "SELECT o_orderstatus, count(*) AS count FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1")
+def spec_pie(spark, sf):
+    return PL.run_spec(t(spark, sf, "orders"), {"chart_type": "pie", "x_column": "o_orderstatus"})
+
+
+@q("spec_heatmap_pair", "SELECT 'o_custkey' AS x, 'o_totalprice' AS y, round(corr(o_custkey, o_totalprice), 6) AS r FROM orders")
+def spec_heatmap_pair(spark, sf):
+    spec = {"chart_type": "heatmap", "x_column": "o_custkey", "y_column": "o_totalprice"}
+    return round_all(PL.run_spec(t(spark, sf, "orders"), spec))
+
+
+@q("spec_heatmap_categories", """
+SELECT o_orderstatus, o_orderpriority, round(avg(o_orderkey), 6) AS mean_o_orderkey FROM orders
+WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2""")
+def spec_heatmap_categories(spark, sf):
+    spec = {"chart_type": "heatmap", "x_column": "o_orderstatus", "y_column": "o_orderpriority"}
+    return round_all(PL.run_spec(t(spark, sf, "orders"), spec))
+
+
+@q("spec_line_points", "SELECT o_orderdate, o_orderstatus, o_totalprice FROM orders")
+def spec_line_points(spark, sf):
+    spec = {"chart_type": "line", "x_column": "o_orderdate", "y_column": "o_totalprice", "color_column": "o_orderstatus"}
+    return PL.run_spec(t(spark, sf, "orders"), spec, ["o_orderkey"])
+
+
+@q("spec_box_colour", """
+SELECT o_orderstatus, o_orderpriority, CAST(count(o_totalprice) AS BIGINT) AS n,
+       round(quantile_cont(o_totalprice, 0.5), 4) AS median
+FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2""")
+def spec_box_colour(spark, sf):
+    spec = {"chart_type": "box", "x_column": "o_orderstatus", "y_column": "o_totalprice", "color_column": "o_orderpriority"}
+    out = PL.run_spec(t(spark, sf, "orders"), spec)
+    return out.select("o_orderstatus", "o_orderpriority", F.col("n").cast("bigint").alias("n"), r("median", 4).alias("median"))
+
+
+# ------------------------------------------------------------ names (R1, R2) and rejected formulas (F8)
+@q("column_meanings", """
+SELECT v.*, CAST(count(c.c_custkey) AS BIGINT) AS n_filled
+FROM (VALUES ('c_nationkey', FALSE, FALSE, FALSE), ('city name', FALSE, FALSE, TRUE), ('store-lat', TRUE, FALSE, FALSE),
+  ('lng', FALSE, TRUE, FALSE), ('Latest', FALSE, FALSE, FALSE), ('zip_code', FALSE, FALSE, TRUE)) v("column", latitude, longitude, place),
+  customer c GROUP BY ALL""")
+def column_meanings(spark, sf):
+    c = t(spark, sf, "customer")
+    return R.column_meanings(c.select(
+        "c_nationkey", F.col("c_name").alias("city name"), F.col("c_acctbal").alias("store-lat"), F.col("c_acctbal").alias("lng"),
+        F.col("c_custkey").alias("Latest"), F.col("c_custkey").alias("zip_code")))
+
+
+_MISSING = "CASE WHEN value > 20 AND event_id % 3 = 0 THEN NULL ELSE value END"
+
+
+def _with_nan(spark, sf):
+    """events with NaN in place of some values."""
+    e = t(spark, sf, "events")
+    return e.withColumn("value", F.when((F.col("value") > 20) & (F.col("event_id") % 3 == 0), F.lit(float("nan"))).otherwise(F.col("value")))
+
+
+@q("missing_group_agg", f"""
+SELECT event_type, round(sum(v), 2) AS total, round(avg(v), 4) AS mean, CAST(count(v) AS BIGINT) AS n, max(v) AS top
+FROM (SELECT event_type, {_MISSING} AS v FROM events) WHERE event_type IS NOT NULL GROUP BY 1""")
+def missing_group_agg(spark, sf):
+    from quarry.operators import aggregates as A
+
+    out = A.group_agg(_with_nan(spark, sf), ["event_type"], "value", ["sum", "mean", "count", "max"], ["total", "mean", "n", "top"])
+    return out.withColumn("total", r("total", 2)).withColumn("mean", r("mean", 4))
+
+
+@q("missing_anomalies", f"""
+WITH e AS (SELECT event_id, {_MISSING} AS v FROM events),
+b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM e)
+SELECT event_id, v AS value FROM e, b WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)""")
+def missing_anomalies(spark, sf):
+    return R.anomalies(_with_nan(spark, sf), "value").select("event_id", "value")

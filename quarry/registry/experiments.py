@@ -171,13 +171,12 @@ def ab_confint(spark, sf):
 @q("sequential_t", f"""
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY experiment, variant ORDER BY o_orderkey) AS pos FROM {_FRAME_SQL}),
 z AS (SELECT a.experiment, a.pos, a.value AS a, b.value AS b FROM f a JOIN f b
-      ON a.experiment = b.experiment AND a.pos = b.pos AND a.variant = 'A' AND b.variant = 'B' WHERE a.pos <= 10000),
+      ON a.experiment = b.experiment AND a.pos = b.pos AND a.variant = 'A' AND b.variant = 'B'),
 s AS (SELECT experiment, pos, max(pos) OVER (PARTITION BY experiment) AS m,
-        sum(a) OVER w AS sa, sum(a * a) OVER w AS saa, sum(b) OVER w AS sb, sum(b * b) OVER w AS sbb FROM z
+        avg(a) OVER w AS ma, var_samp(a) OVER w AS va, avg(b) OVER w AS mb, var_samp(b) OVER w AS vb FROM z
       WINDOW w AS (PARTITION BY experiment ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT experiment, CAST(pos AS BIGINT) AS n,
-  round((sa / pos - sb / pos) / sqrt(((saa - sa * sa / pos) / (pos - 1) + (sbb - sb * sb / pos) / (pos - 1)) / 2 * (2.0 / pos)), 4)
-    AS t_statistic
+  round((ma - mb) / nullif(sqrt((va + vb) / 2 * (2.0 / pos)), 0), 4) AS t_statistic
 FROM s WHERE pos >= 2 AND pos < m""")
 def sequential_t(spark, sf):
     return round_all(X.sequential_t(_frame(spark, sf), ["o_orderkey"]), 4)

@@ -34,7 +34,7 @@ FROM orders""")
 def infer_dates(spark, sf):
     o = t(spark, sf, "orders")
     as_text = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
-    return S.infer_dates(as_text, order_by=["o_orderkey"])
+    return S.infer_dates(as_text)
 
 
 @q("dataset_listing", " UNION ALL ".join(
@@ -408,9 +408,9 @@ def dist_insight(spark, sf):
 
 
 @q("summary_means", " UNION ALL ".join(
-    f"SELECT '{c}' AS column, round(avg({c}), 4) AS mean FROM lineitem" for c in NUMERIC["lineitem"][:5]))
+    f"SELECT '{c}' AS column, round(avg({c}), 4) AS mean FROM lineitem" for c in NUMERIC["lineitem"]))
 def summary_means(spark, sf):
-    return round_all(A.summary_means(t(spark, sf, "lineitem"), 5), 4)
+    return round_all(A.summary_means(t(spark, sf, "lineitem")), 4)
 
 
 def _corr_sql(table, cols, pairs):
@@ -427,10 +427,10 @@ def corr_matrix(spark, sf):
 
 
 @q("top_corr_pairs", "SELECT * FROM (" + _corr_sql(
-    "lineitem", _LC[:6], [(_LC[i], _LC[j]) for i in range(6) for j in range(i + 1, 6)])
+    "lineitem", _LC, [(_LC[i], _LC[j]) for i in range(len(_LC)) for j in range(i + 1, len(_LC))])
    + ") WHERE r IS NOT NULL ORDER BY abs(r) DESC, x, y LIMIT 8")
 def top_corr_pairs(spark, sf):
-    return round_all(A.top_corr_pairs(t(spark, sf, "lineitem"), 6, 8))
+    return round_all(A.top_corr_pairs(t(spark, sf, "lineitem"), top=8))
 
 
 @q("strong_corr", "SELECT *, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction FROM (" + _corr_sql(

@@ -31,7 +31,7 @@ def q(name, sql=None):
 
 
 def _events(spark, sf):
-    return ST.file_stream(spark, sf.rstrip("/"), EVENTS_SCHEMA, name_glob="events.parquet")
+    return ST.file_stream(spark, f"{sf.rstrip('/')}/events.parquet", EVENTS_SCHEMA)
 
 
 def _snapshots(spark, sf):

@@ -1,4 +1,4 @@
-"""Registry entries: time series."""
+"""Registry entries: time series."""
 
 from __future__ import annotations
 
@@ -31,11 +31,6 @@ def _event_grid(spark, sf):
     return TS.to_grid(t(spark, sf, "events"), "ts", "value", series="event_type")
 
 
-def _order_grid(spark, sf):
-    """Daily order totals per order status: long series for model fits."""
-    return TS.to_grid(t(spark, sf, "orders"), "o_orderdate", "o_totalprice", series="o_orderstatus")
-
-
 @q("ts_decompose", """
 WITH g AS (SELECT event_type AS series, date_trunc('day', ts) AS ts, sum(value) AS value FROM events
            WHERE ts IS NOT NULL GROUP BY 1, 2),
@@ -53,33 +48,3 @@ def ts_decompose(spark, sf):
     # 8 digits: the parts are short exact decimals (cents / 12, / 24), so 6
     # digits can land exactly on a rounding tie decided by summation order
     return round_all(TS.decompose(_event_grid(spark, sf), 12), 8)
-
-
-@q("ts_adf")
-def ts_adf(spark, sf):
-    return TS.adf(_order_grid(spark, sf))
-
-
-@q("ts_arima")
-def ts_arima(spark, sf):
-    return TS.arima_forecast(_order_grid(spark, sf), 30)
-
-
-@q("ts_arima_metrics")
-def ts_arima_metrics(spark, sf):
-    return TS.arima_metrics(_order_grid(spark, sf))
-
-
-@q("ts_holt")
-def ts_holt(spark, sf):
-    return TS.holt_forecast(_event_grid(spark, sf), 30, seasonal=True)
-
-
-@q("ts_seasonal_regression")
-def ts_seasonal_regression(spark, sf):
-    return TS.seasonal_forecast(_order_grid(spark, sf), 30)
-
-
-@q("ts_compare")
-def ts_compare(spark, sf):
-    return TS.compare_models(_event_grid(spark, sf))

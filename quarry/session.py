@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only if none is set.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that is used
-    as is.  Only when nothing is configured (local tests) a scratch folder is
-    created.
+    as is.  Only in local mode, with nothing configured, a scratch folder is
+    created; anywhere else a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
@@ -62,7 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir")
     if not conf_dir:
-        # only when nothing is configured (local tests): a scratch folder
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine and nothing configured, as in tests: a scratch folder
         conf_dir = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("QUARRY_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)
@@ -74,17 +79,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable (replicated-folder) checkpoint; cuts lineage and pins the data.
-
-    Used where one derived table feeds two passes that must see identical
-    rows (range-partitioned positions).  Never a local checkpoint: a lost
-    executor would lose the data.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _CLEANUP_REGISTERED: set[str] = set()
 
 
@@ -124,16 +118,43 @@ def materialize(df: DataFrame, name: str = "pinned") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they run."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Connect)
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-package-"), "quarry.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.join("quarry", os.path.relpath(file, here)))
+    sc.addPyFile(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]:
-    """Register every table of a folder as a temp view."""
+    """Register every table of a folder as a temp view (S6); folders are looked
+    up through the Hadoop file system, so any store works."""
+    sc = spark.sparkContext
     out = []
     for n in names:
         p = f"{sf_dir.rstrip('/')}/{n}.parquet"
-        if os.path.exists(p) or "://" in p:
+        at = sc._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
             spark.read.parquet(p).createOrReplaceTempView(n)
             out.append(n)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stats import is_numeric
+from quarry.functions.stats import is_numeric, present
 
 # Date formats tried, in order, when a text column is re-typed
 # as a timestamp (Spark datetime patterns).
@@ -74,34 +74,36 @@ def parse_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 
-def infer_dates(df: DataFrame, order_by: Sequence[str], sample: int = 10,
-                threshold: float = 0.5, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+def infer_dates(df: DataFrame, threshold: float = 0.5, formats: Sequence[str] = DATE_FORMATS,
+                sample: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """Re-type text columns as timestamps (S4) and keep other text as nullable
     string (S5).
 
     A text column becomes a timestamp when more than ``threshold`` of its
-    first ``sample`` non-null values (by ``order_by``) parse; values that do
-    not parse become null.  The probe is one top-k per column (no full sort).
+    non-null values parse; one aggregate decides for all columns.  With
+    ``sample`` only the first ``sample`` rows by ``order_by`` are looked at.
     """
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    convert = []
-    for c in text_cols:
-        probe = (df.where(F.col(c).isNotNull()).orderBy(*order_by).limit(sample)
-                 .agg(F.count(F.lit(1)).alias("n"),
-                      F.count(parse_timestamp(F.col(c), formats)).alias("ok")).first())
-        if probe and probe["n"] > 0 and probe["ok"] / probe["n"] > threshold:
-            convert.append(c)
-    return df.select(*[parse_timestamp(F.col(c), formats).alias(c) if c in convert
-                       else F.col(c) for c in df.columns])
-
-
-def load(spark: SparkSession, path: str, order_by: Sequence[str] | None = None,
-         fmt: str | None = None) -> DataFrame:
-    """S1 + S2 + S3 + S4 + S5 in the reference's order."""
-    df = clean_names(validate(read_any(spark, path, fmt)))
-    if order_by:
-        df = infer_dates(df, order_by)
-    return df
+    if not text_cols:
+        return df
+    src = df.orderBy(*order_by).limit(sample) if sample else df
+    got = src.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(text_cols)],
+                  *[F.count(parse_timestamp(F.col(f"`{c}`"), formats)).alias(f"k{i}") for i, c in enumerate(text_cols)]).first()
+    convert = {c for i, c in enumerate(text_cols) if got[f"n{i}"] and got[f"k{i}"] / got[f"n{i}"] > threshold}
+    return df.select(*[parse_timestamp(F.col(f"`{c}`"), formats).alias(c) if c in convert
+                       else F.col(f"`{c}`") for c in df.columns])
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns becomes null: a loaded table has one kind of
+    missing value."""
+    return df.select(*[present(df, c).alias(c) for c in df.columns])
+
+
+def load(spark: SparkSession, path: str, dates: bool = True, fmt: str | None = None) -> DataFrame:
+    """S1 + S2 + S3 + S4 + S5 in the reference's order, with NaN as null."""
+    df = nan_as_null(clean_names(validate(read_any(spark, path, fmt))))
+    return infer_dates(df) if dates else df
 
 
 # --- S6 -------------------------------------------------------------------
@@ -153,9 +155,9 @@ def completeness(df: DataFrame) -> Column:
     """Non-null cells / all cells x 100 as one aggregate expression."""
     nn = None
     for c in df.columns:
-        e = F.count(F.col(f"`{c}`"))
+        e = F.count(present(df, c))
         nn = e if nn is None else nn + e
-    return (nn / (F.count(F.lit(1)) * F.lit(len(df.columns)))) * 100.0
+    return F.coalesce(F.try_divide(nn, F.count(F.lit(1)) * F.lit(len(df.columns))) * 100.0, F.lit(0.0))
 
 
 def profile_log_row(df: DataFrame, name: str, description: str = "", file_type: str = "parquet") -> DataFrame:
@@ -181,11 +183,3 @@ def report_overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("record_count"), nulls.cast("bigint").alias("null_cells")).select(
         "record_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
         F.lit(len(num)).cast("bigint").alias("numeric_column_count"), "null_cells")
-
-
-def first_rows(df: DataFrame, order_by: Sequence[str], n: int = 100) -> DataFrame:
-    """First n rows by an explicit order (W5/P8): a top-k, not a full sort."""
-    if not 1 <= n <= 1000:
-        raise ValueError("n must be in 1..1000")
-    return df.orderBy(*order_by).limit(n)
-

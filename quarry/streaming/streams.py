@@ -40,13 +40,15 @@ def _epoch_ntz():
 
 # ---------------------------------------------------------------- sources / sinks
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None, name_glob: str | None = None) -> DataFrame:
-    """Streaming read of a folder with a declared schema (ST1); new files
-    landing in the folder are new records.  ``name_glob`` keeps only
-    matching file names."""
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of a table's folder (or a single file) with a declared
+    schema (ST1); new files landing in the folder are new records."""
     r = spark.readStream.schema(schema).format(fmt)
-    if name_glob:
-        r = r.option("pathGlobFilter", name_glob)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getFileStatus(at).isFile():  # a stream reads folders: this one's file of that name
+        r, path = r.option("pathGlobFilter", at.getName()), at.getParent().toString()
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
@@ -86,7 +88,12 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     q = (stream.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    # the declared schema: an empty source runs no batch and gives an empty table
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def export_stream(stream: DataFrame, path: str, fmt: str = "csv", checkpoint: str | None = None):

@@ -115,7 +115,7 @@ def test_first_distinct_trims_and_skips_blank(spark):
 def test_load_validation_and_names(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("Order Date, Total Sales ,Region\n03/15/2024,10.5,West\n2024-03-16,3,East\nbad,1,East\n")
-    df = S.load(spark, str(p), order_by=["Total_Sales"])
+    df = S.load(spark, str(p))
     assert df.columns == ["Order_Date", "Total_Sales", "Region"]
     assert dict(df.dtypes)["Order_Date"] == "timestamp_ntz"
     assert sorted(r[0] is None for r in df.select("Order_Date").collect()) == [False, False, True]

@@ -65,12 +65,6 @@ def test_prepare_first_null_removes_the_date(spark):
     assert [r["ts"] for r in out] == [datetime(2024, 1, 2)]
 
 
-def test_adf_returns_flag():
-    r = TS.adf_test([1.0, 1.1, 0.9, 1.05, 0.95] * 20)
-    assert "p_value" in r and r["p_value"] is not None
-    assert r["p_value"] < 0.05  # a repeating pattern around a constant level is stationary
-
-
 def test_stream_buffer_heterogeneous_records(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("s", 1, "a"), ("s", 2, None), ("s", 3, None)], "stream_id string, x long, y string") \

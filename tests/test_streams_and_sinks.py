@@ -117,3 +117,25 @@ def test_pandas_helper_is_vectorised():
     s = pd.Series(['{"k": 51}', '{"k": 3}', None])
     from quarry.registry.streams import _k_over_50
     assert list(_k_over_50(s)) == [True, False, False]
+
+
+STREAM_KEYS = [k for k in __import__("__spark_entry__").queries() if k.startswith(("stream_", "udf_"))]
+
+
+@pytest.mark.parametrize("name", STREAM_KEYS)
+def test_multi_file_and_empty_tables(spark, tmp_path, name):
+    """A table of several part files gives what the single file gives; an
+    empty table gives an empty result."""
+    import __spark_entry__ as E
+    from quarry.registry.compare import rows_of
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    events.limit(0).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    q = E.queries()[name]
+    one, many = q(spark, sf), q(spark, str(tmp_path / "many"))
+    assert rows_of(many.columns, [tuple(r) for r in many.collect()]) == rows_of(one.columns, [tuple(r) for r in one.collect()])
+    assert q(spark, str(tmp_path / "none")).count() == 0
