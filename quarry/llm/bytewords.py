@@ -8,12 +8,27 @@ texts only (a text longer than the bound is a chunk of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 3_000_000
+
+
+def _bounded_heap() -> None:
+    """Let the C library hand large freed arrays back to the system, so that
+    the Python workers of an executor do not keep the sum of their peaks."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)   # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: nothing to set
+        pass
+
+
+_bounded_heap()
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.temp import discard
 from quarry.session import materialize
 
 
@@ -58,6 +59,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not last[0]:
             break
+        before = e
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -67,6 +69,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         e = materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _state(e)
+        discard(before)
         if now == last:
             break
         last = now

@@ -14,14 +14,14 @@ its distinct five-word shingles.  Two documents link when
    each block is sorted in one task and keeps the columns with two or more
    classes.  A column repeated inside a map batch is forwarded once, so a
    column shared by a third of all documents does not fill a block.
-4. First product: every class with the first class of each of its columns.
+4. First product: every class with ``LEADS`` classes of each of its columns.
    Pairs are verified on their whole sets and joined into components.
 5. Second product, exact: columns whose classes already are in one component
-   are done.  In every other column each class outside the largest component
-   is paired with all classes of other components; overlap counts are summed
-   over blocks, and pairs are discarded when the sizes or
-   ``count + what is left after the last common column`` cannot reach the
-   needed overlap.  The rest is verified on whole sets.
+   are done.  In every other column each class outside the lead's component is
+   paired with all classes of other components; overlap counts are summed
+   over blocks, and pairs are discarded when the sizes, the entries that meet
+   no other class, or ``count + what can follow the last common column`` cannot
+   reach the needed overlap.  The rest is verified on whole sets.
 
 So no link between different components is lost, while a group of near copies
 costs pairs in proportion to its size.
@@ -39,18 +39,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import bytewords as B
 from quarry.llm.graph import components
+from quarry.llm.temp import discard
 from quarry.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
 ORDERED = 400_000        # most columns that carry a frequency in the column order
-COUNTED = 6_000_000      # shingles counted at once in a task
+LEADS = 4                # classes per column that start the components
+COUNTED = 2_000_000      # shingles counted at once in a task
 BLOCK = 1_000_000        # matrix entries of a column block
 BROADCAST_IDS = 1_000_000
 _P = np.uint64(0xD6E8FEB86659FD93)
@@ -126,14 +128,16 @@ def frequent_columns(docs: DataFrame, k: int = SHINGLE, most: int = ORDERED) ->
     if floor is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     t = counts.where(F.col("c") >= floor).toArrow()  # at most ``most`` rows
+    discard(counts)
     h = np.asarray(t["h"].combine_chunks()).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.asarray(t["c"].combine_chunks())[order]
 
 
 def matrix_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Written table (doc_id, n, cid, prefix): set size, class id and the
-    first columns of the row; the prefix is given once per class and task."""
+    """Written table (doc_id, n, cid, last_f, last_h, prefix): set size, class
+    id, the place of the last prefix column in the column order, and the first
+    columns of the row; the prefix is given once per class and task."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_columns(docs.select("_text"), k))  # at most ORDERED entries
 
@@ -145,36 +149,44 @@ def matrix_rows(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
         for batch in batches:
             ids = batch.column(0)
             for i, j, data, offsets in B.chunks(*B.texts(batch.column(1))):
-                n, cid, parts, lens = [], [], [], []
+                n, cid, parts, lens, last_f, last_h = [], [], [], [], [], []
                 for s in shingle_sets(data, offsets, k):
                     n.append(len(s))
                     c = class_id(s) if len(s) else None
                     cid.append(c)
                     if c is None or c in seen:
                         lens.append(0)
+                        last_f.append(None)
+                        last_h.append(None)
                         continue
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
                     p = len(s) - (percent * len(s) + 99) // 100 + 1
                     hot = np.flatnonzero(maybe[(s >> np.uint64(42)).astype(np.int64)])
+                    count = np.zeros(len(s), np.int64)
                     if len(hot):
                         at = np.minimum(np.searchsorted(keys, s[hot]), len(keys) - 1)
                         true = keys[at] == s[hot]
                         hot, f = hot[true], freq[at[true]]
                         cold = np.ones(len(s), bool)
                         cold[hot] = False
-                        s = np.concatenate([s[cold], s[hot][np.lexsort((s[hot], f))]])
+                        by = np.lexsort((s[hot], f))
+                        s = np.concatenate([s[cold], s[hot][by]])
+                        count[len(s) - len(hot):] = f[by]
                     parts.append(s[:p])
                     lens.append(p)
+                    last_f.append(int(count[p - 1]))
+                    last_h.append(int(s[p - 1]) - (1 << 63))  # keeps the order of the hashes
                 flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
                 off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n, pa.int32()), pa.array(cid, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc_id", "n", "cid", "prefix"])
+                    [ids.slice(i, j - i), pa.array(n, pa.int32()), pa.array(cid, pa.int64()), pa.array(last_f, pa.int64()),
+                     pa.array(last_h, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+                    names=["doc_id", "n", "cid", "last_f", "last_h", "prefix"])
 
     return materialize(docs.select("_id", "_text").mapInArrow(
-        run, "doc_id bigint, n int, cid bigint, prefix array<bigint>"), "matrix")
+        run, "doc_id bigint, n int, cid bigint, last_f bigint, last_h bigint, prefix array<bigint>"), "matrix")
 
 
 def _pack(h, d, p, f, cid, n) -> bytes:
@@ -203,9 +215,10 @@ def _entries(h, cid, n, pos) -> pa.RecordBatch:
                                       names=["h", "cid", "n", "pos"])
 
 
-def shared_columns(rows: DataFrame) -> DataFrame:
-    """Written table (h, cid, n, pos): the prefix entries whose column holds
-    two or more classes."""
+def shared_columns(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Written table (h, cid, n, pos, miss, last): the prefix entries whose
+    column holds two or more classes, with the number of entries of the same
+    prefix that meet no other class and the place of its last column."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     blocks = int(max(-(-total // BLOCK), int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -236,7 +249,8 @@ def shared_columns(rows: DataFrame) -> DataFrame:
                 rest = ~head
                 if rest.any():  # repeated here: kept at once, its first entry travels for all
                     raw = _pack(h[rest], doc[rest], pos[rest], np.ones(int(rest.sum()), np.uint8), cid, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([raw], pa.binary())], names)
+                    mine = blocks + int(cid[0]) % blocks
+                    yield pa.RecordBatch.from_arrays([pa.array([mine], pa.int32()), pa.array([raw], pa.binary())], names)
                 h, doc, pos, again = h[head], doc[head], pos[head], again[head]
                 cutpoints = np.searchsorted(h, bounds)
                 cutpoints[-1] = len(h)
@@ -251,16 +265,15 @@ def shared_columns(rows: DataFrame) -> DataFrame:
                 if ks:
                     yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(raws, pa.binary())], names)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                h, cid, n, pos, _ = _unpack(raw.as_py())
-                yield _entries(h, cid, n, pos)
-
     def block(t: pa.Table) -> pa.Table:
+        if not len(t):
+            return pa.Table.from_batches([_entries(*(np.zeros(0, np.uint64),) * 4)])
         parts = [_unpack(raw.as_py()) for c in t["data"].chunks for raw in c]
         h, cid, n, pos, again = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((cid, h))
+        one = np.ones(len(order), bool)
+        one[1:] = (h[order][1:] != h[order][:-1]) | (cid[order][1:] != cid[order][:-1])
+        order = order[one]  # a class may come from several tasks
         h, cid, n, pos, again = h[order], cid[order], n[order], pos[order], again[order].astype(bool)
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
@@ -271,19 +284,41 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         keep = keep[run]
         return pa.Table.from_batches([_entries(h[keep], cid[keep], n[keep], pos[keep])])
 
-    parts = materialize(rows.where(F.size("prefix") > 0).select("cid", "n", "prefix")
-                        .mapInArrow(split, "block int, data binary"), "blocks")
-    met = (parts.where("block >= 0").groupBy("block").applyInArrow(block, ENTRY)
-           .union(parts.where("block < 0").select("data").mapInArrow(local, ENTRY)))
-    return materialize(met.distinct(), "incidence")
+    met = (rows.where(F.size("prefix") > 0).select("cid", "n", "prefix").mapInArrow(split, "block int, data binary")
+           .groupBy("block").applyInArrow(block, ENTRY))
+    # an entry can still come twice, from two batches; that only loosens bounds
+    met = materialize(met, "incidence")
+    mine = met.groupBy("cid").agg(F.count(F.lit(1)).alias("m"))
+    last = rows.where(F.size("prefix") > 0).groupBy("cid").agg(
+        F.max("n").alias("n"), F.struct(F.max("last_f").alias("f"), F.max("last_h").alias("h")).alias("last"))
+    p = F.col("n") - F.ceil(percent * F.col("n") / 100.0).cast("int") + 1
+    mine = materialize(mine.join(last, "cid").select("cid", F.greatest(p - F.col("m"), F.lit(0)).cast("int").alias("miss"), "last"),
+                       "misses")
+    out = materialize(met.join(_small(mine), "cid"), "incidence")
+    discard(met)
+    return out
+
+
+def _small(t: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """Marked for broadcast when it is counted small; else left to a shuffle."""
+    return F.broadcast(t) if t.count() <= most else t
 
 
 def _sizes_allow(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _needed(x: str, y: str, percent: int):
+    """The overlap that two sets of these sizes need."""
+    return F.expr(f"({percent}L * ({x} + {y}) + {99 + percent}) div {100 + percent}")
+
+
 def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link, with their overlap."""
+    """The pairs (a, b) whose whole sets link, with their overlap (written).
+
+    Sets are made from the texts again.  The top 16 bits of the hashes, a
+    quarter of the bytes, bound the overlap from above; only pairs that this
+    bound lets through meet with their full sets."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     heads = materialize(rows.join(ends, "cid").groupBy("cid").agg(F.min("doc_id").alias("_head")), "heads")
     ids = heads.select(F.col("_head")).distinct()
@@ -295,29 +330,52 @@ def verify(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent:
         for batch in batches:
             for _, _, data, offsets in B.chunks(*B.texts(batch.column(0))):
                 sets = [s for s in shingle_sets(data, offsets, k) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "s"])
-
-    sets = materialize(found.select("_text").mapInArrow(run, "c bigint, s binary")
-                       .join(ends.withColumnRenamed("cid", "c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, common = [], [], []
-            for i, j, x, y in zip(*(batch.column(c) for c in range(4))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                o = int((y[at] == x).sum())
-                if 100 * o >= percent * (len(x) + len(y) - o):
-                    a.append(i.as_py())
-                    b.append(j.as_py())
-                    common.append(o)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                                              pa.array(common, pa.int32())], names=["a", "b", "overlap"])
-
-    j = (pairs.select("a", "b").join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
-         .join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b"))
-    return materialize(j.select("a", "b", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint, overlap int"), "links")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([class_id(s) for s in sets], pa.int64()),
+                     pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "top", "full"])
+
+    sets = materialize(found.select("_text").mapInArrow(run, "c bigint, top binary, full binary"), "sets")
+
+    def meet(these: DataFrame, col: str, overlap) -> DataFrame:
+        """Pairs whose sets (or bounds of them) reach the needed overlap."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, common = [], [], []
+                for i, j, x, y in zip(*(batch.column(c) for c in range(4))):
+                    n, m, o = overlap(x.as_py(), y.as_py())
+                    if 100 * o >= percent * (n + m - o):
+                        a.append(i.as_py())
+                        b.append(j.as_py())
+                        common.append(o)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                                                  pa.array(common, pa.int32())], names=["a", "b", "overlap"])
+
+        left, right = (sets.select(F.col("c").alias(e), F.col(col).alias(f"s{e}")) for e in "ab")
+        j = these.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+        return materialize(j.mapInArrow(run, "a bigint, b bigint, overlap int").dropDuplicates(["a", "b"]), "links")
+
+    def bound(x: bytes, y: bytes) -> tuple[int, int, int]:
+        x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+        seen = np.zeros(1 << 16, bool)
+        seen[y] = True
+        return len(x), len(y), min(int(seen[x].sum()), len(y))
+
+    def exact(x: bytes, y: bytes) -> tuple[int, int, int]:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        return len(x), len(y), int((y[at] == x).sum())
+
+    likely = meet(pairs, "top", bound)
+    left = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    if likely.count() <= BROADCAST_IDS // 2:
+        left = F.broadcast(left)
+    whole = sets
+    sets = whole.join(left, "c", "left_semi")
+    out = meet(likely, "full", exact)
+    for t in (whole, likely, heads):
+        discard(t)
+    return out
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
@@ -327,37 +385,52 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     classes that connect all components."""
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = matrix_rows(docs, k, percent)
-    inc = shared_columns(rows)
-
-    first = inc.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("p"))
-    near = (inc.join(first, "h").where(F.col("cid") != F.col("p.cid")).where(_sizes_allow("n", "p.n", percent))
-            .groupBy(F.col("p.cid").alias("a"), F.col("cid").alias("b"))
+    inc = shared_columns(rows, percent)
+
+    # a start: each class with the classes of its columns that have the fewest
+    # entries of their own, such as the origin of a group of near copies
+    own = (F.col("miss") / F.col("n")).alias("own")
+    pick = Window.partitionBy("h").orderBy(own, "cid")
+    lead = inc.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= LEADS).select(
+        "h", F.col("cid").alias("a"), F.col("n").alias("na"))
+    near = (inc.join(lead, "h").where(F.col("cid") != F.col("a")).where(_sizes_allow("n", "na", percent))
+            .groupBy(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b"))
             .agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")))
-    # a mere start: pairs with little in common wait for the exact product
-    near = materialize(near.where(F.col("c") * 32 >= F.col("n")), "pairs")
+    # pairs with little in common wait for the exact product
+    near = materialize(near.where(F.col("c") * 16 >= F.col("n")), "pairs")
     links = verify(docs, rows, near, k, percent)
+    discard(near)
     label = components(links)
 
-    tagged = inc.join(label, F.col("cid") == F.col("node"), "left").select(
-        "h", "cid", "n", "pos", F.coalesce("root", "cid").alias("lab"))
-    by_label = tagged.groupBy("h", "lab").agg(F.count(F.lit(1)).alias("c"))
-    mixed = by_label.groupBy("h").agg(F.max(F.struct("c", "lab")).alias("top"), F.count(F.lit(1)).alias("labs"))
-    mixed = mixed.where("labs > 1").select("h", F.col("top.lab").alias("top"))
-    open_ = materialize(tagged.join(mixed, "h"), "open")
-    x = open_.where("lab <> top").select("h", *(F.col(c).alias(f"x{c}") for c in ("cid", "n", "pos", "lab")))
-    y = open_.select("h", "top", *(F.col(c).alias(f"y{c}") for c in ("cid", "n", "pos", "lab")))
-    forth = F.col("xcid") < F.col("ycid")
+    tagged = inc.join(_small(label), F.col("cid") == F.col("node"), "left").withColumn("lab", F.coalesce("root", "cid"))
+    mixed = tagged.groupBy("h").agg(F.min("lab").alias("l0"), F.max("lab").alias("l1"),
+                                    F.min_by("lab", F.struct(own, "cid")).alias("top")).where("l0 < l1")
+    open_ = materialize(tagged.join(mixed.select("h", "top"), "h").drop("node", "root"), "open")
+    names = ("cid", "n", "pos", "miss", "last", "lab")
+    x = open_.where("lab <> top").select("h", *(F.col(c).alias(f"x{c}") for c in names))
+    y = open_.select("h", "top", *(F.col(c).alias(f"y{c}") for c in names))
+    # The prefix whose last column comes first in the order: what it has there
+    # and the other row has too is in the other's prefix, so its entries that
+    # meet no other class are not in the other row.
+    early = F.col("xlast") <= F.col("ylast")
+    reach = F.when(early, F.col("xn") - F.col("xmiss")).otherwise(F.col("yn") - F.col("ymiss"))
     cand = (x.join(y, "h").where("xlab <> ylab and (ylab = top or xcid < ycid)").where(_sizes_allow("xn", "yn", percent))
-            .select(*(F.when(forth, F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(f"a{c}") for c in ("cid", "n", "pos")),
-                    *(F.when(forth, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"b{c}") for c in ("cid", "n", "pos"))))
+            .where(reach >= _needed("xn", "yn", percent))
+            # sets that share enough meet before ``size - needed`` in both rows;
+            # a common column that is later in either is later in both
+            .where(F.col("xpos") <= F.col("xn") - _needed("xn", "yn", percent))
+            .where(F.col("ypos") <= F.col("yn") - _needed("xn", "yn", percent)))
+    forth = F.col("xcid") < F.col("ycid")
+    cand = cand.select(*(F.when(forth, F.col(f"x{c}")).otherwise(F.col(f"y{c}")).alias(f"a{c}") for c in ("cid", "n", "pos")),
+                       *(F.when(forth, F.col(f"y{c}")).otherwise(F.col(f"x{c}")).alias(f"b{c}") for c in ("cid", "n", "pos")))
     cand = cand.groupBy(F.col("acid").alias("a"), F.col("bcid").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.max("an").alias("na"), F.max("bn").alias("nb"),
-        F.max("apos").alias("pa"), F.max("bpos").alias("pb"))
-    # the overlap that two sets of these sizes need
-    need = F.ceil((percent * (F.col("na") + F.col("nb"))).cast("decimal(20,0)") / F.lit(100 + percent))
-    left = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    cand = materialize(cand.where(F.col("c") + left >= need), "pairs")
+        F.count(F.lit(1)).alias("c"), F.max("an").alias("na"), F.max("bn").alias("nb"), F.max("apos").alias("pa"),
+        F.max("bpos").alias("pb"))
+    behind = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    cand = materialize(cand.where(F.col("c") + behind >= _needed("na", "nb", percent)), "pairs")
     links2 = verify(docs, rows, cand, k, percent)
+    for t in (inc, open_, cand):
+        discard(t)
     links = links.unionByName(links2)
     final = components(label.select(F.col("node").alias("a"), F.col("root").alias("b"))
                        .union(links2.select("a", "b")))
