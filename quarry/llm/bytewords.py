@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def _bounded_heap() -> None:

@@ -52,7 +52,7 @@ SHINGLE = 5
 PERCENT = 75
 ORDERED = 400_000        # most columns that carry a frequency in the column order
 LEADS = 4                # classes per column that start the components
-COUNTED = 2_000_000      # shingles counted at once in a task
+COUNTED = 1_200_000      # shingles counted at once in a task
 BLOCK = 1_000_000        # matrix entries of a column block
 BROADCAST_IDS = 1_000_000
 _P = np.uint64(0xD6E8FEB86659FD93)
