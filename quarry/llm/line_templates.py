@@ -32,13 +32,15 @@ ALIKE = 0.7
 ROUNDS = 3
 LEAST_DOCS = 10
 BROADCAST_ROWS = 500_000  # of at most two longs
-_VARIABLE = r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+"
 
 
 def _tokens(line: Column) -> Column:
-    """Tokens of a line, variable ones masked."""
-    masked = F.regexp_replace(line, _VARIABLE, "<*>")
-    return F.filter(F.split(masked, r"[\x09-\x0D\x20]+"), lambda t: t != "")
+    """Tokens of a line, those with a digit masked.  Lines without a digit or
+    without white space other than blanks take no regular expression."""
+    cut = F.when(line.rlike(r"[\x09\x0B-\x0D]"), F.split(line, r"[\x09-\x0D\x20]+")).otherwise(F.split(line, " "))
+    plain = F.filter(cut, lambda t: t != "")
+    masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,7 +50,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.col(f"`{text_col}`")
     lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tok", _tokens(F.col("line"))).where(F.size("tok") > 0)
+    # a generator's output is made once and then read by all expressions below
+    lines = lines.select("id", "th", "pos", F.explode(F.array(_tokens(F.col("line")))).alias("tok")).where(F.size("tok") > 0)
     leaf = F.xxhash64(F.size("tok"), F.slice("tok", 1, DEPTH))
     return materialize(lines.select("id", "th", "pos", leaf.alias("leaf"), F.xxhash64("tok").alias("sig"),
                                     F.array_join("tok", " ").alias("toks")), "lines")
