@@ -271,17 +271,17 @@ def shared_columns(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         parts = [_unpack(raw.as_py()) for c in t["data"].chunks for raw in c]
         h, cid, n, pos, again = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((cid, h))
-        one = np.ones(len(order), bool)
-        one[1:] = (h[order][1:] != h[order][:-1]) | (cid[order][1:] != cid[order][:-1])
-        order = order[one]  # a class may come from several tasks
         h, cid, n, pos, again = h[order], cid[order], n[order], pos[order], again[order].astype(bool)
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         run = np.cumsum(head) - 1
         at = np.flatnonzero(head)
         last = np.append(at[1:], len(h)) - 1
+        # of all copies of an entry, as any of them may stand for others
         keep = (cid[at] != cid[last]) | np.logical_or.reduceat(again, at)
-        keep = keep[run]
+        one = head.copy()
+        one[1:] |= cid[1:] != cid[:-1]  # a class may come from several tasks
+        keep = keep[run] & one
         return pa.Table.from_batches([_entries(h[keep], cid[keep], n[keep], pos[keep])])
 
     met = (rows.where(F.size("prefix") > 0).select("cid", "n", "prefix").mapInArrow(split, "block int, data binary")

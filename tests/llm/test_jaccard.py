@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 
 from quarry.llm import graph
 from quarry.llm import jaccard_join as J
 
 from brute import jaccard_components, lower_ascii
-from cases import docs, rows, sentence
+from cases import DOCS, docs, rows, sentence
 
 
 def same(spark, data):
@@ -37,6 +38,44 @@ def test_large_group_and_shared_passage(spark):
     same(spark, [(i, t, *[None] * 13) for i, t in enumerate(data)])
 
 
+def test_copies_in_every_batch(spark, tmp_path):
+    """A text stands in every file and batch; its one near copy, whose class id
+    is larger, is beside it in one batch only."""
+    rng = random.Random(11)
+    files = 8
+
+    def cid(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return J.class_id(next(J.shingle_sets(raw, np.array([0, len(raw)]))))
+
+    pairs = []
+    while len(pairs) < files:
+        a = sentence(rng, "en", 60)
+        b = a + " end"
+        if cid(a) < cid(b):
+            pairs.append((a, b))
+    data = []
+    for f in range(files):
+        part = []
+        for g, (a, b) in enumerate(pairs):
+            part += [a, b if g == f else sentence(rng, "fr", 61)]
+        part = [(100 * f + i, t, *[None] * 13) for i, t in enumerate(part)]
+        spark.createDataFrame(part, DOCS).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+        data += part
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.files.openCostInBytes": "64m",
+            "spark.sql.files.maxPartitionBytes": "64m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = J.component_ids(J.join(spark.read.parquet(str(tmp_path / "docs")))[0]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = jaccard_components([(r[0], r[1]) for r in data])
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_empty_table(spark):
     members, links = J.join(docs(spark, []))
     assert members.count() == 0 and links.count() == 0
