@@ -4,9 +4,15 @@ Lines are parsed down a tree of fixed depth: by the number of tokens, then by
 the first ``DEPTH`` tokens (a token with a digit is variable).  In a leaf the
 most frequent line becomes a template; lines that agree with it in at least
 ``ALIKE`` of the positions join it, and where members differ the field is
-generalised to ``<*>``.  This is repeated ``ROUNDS`` times with what is left;
-after that each remaining line is a template by itself.  A template found in
-``LEAST_DOCS`` or more documents is boilerplate: its lines are dropped.
+generalised to ``<*>``.  This goes on with what is left until the lines of no
+leaf could reach ``LEAST_DOCS`` together.  A template found in ``LEAST_DOCS`` or
+more documents is boilerplate: its lines are dropped.
+
+A round settles the most frequent lines of every leaf at once, one in the first
+round and up to ``SEEDS`` later: in order of frequency each of them that agrees
+with no template before it is one, and every line joins the first template that
+it agrees with.  The result is that of one template at a time; the number of
+rounds grows with the templates of the largest leaf divided by ``SEEDS``.
 
 Only leaves that reach enough documents are looked at closely.  All counts are
 partial before they are shuffled, and joins on a frequent line are plain
@@ -22,14 +28,14 @@ other columns are carried unchanged; an empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
 DEPTH = 3
 ALIKE = 0.7
-ROUNDS = 3
+SEEDS = 64  # lines of a leaf settled in a round; decides the work, not the result
 LEAST_DOCS = 10
 BROADCAST_ROWS = 500_000  # of at most two longs
 
@@ -62,7 +68,13 @@ def _with(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
-def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+def _alike(a: Column, b: Column, alike: float) -> Column:
+    """Whether two token lists of one length agree in enough positions."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    return same >= alike * F.size(a)
+
+
+def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, seeds: int = SEEDS) -> DataFrame:
     """Written table (sig, template id, n_docs) of the lines of recurring
     templates; the template id is the ``sig`` of its first line."""
     full = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least)
@@ -72,18 +84,30 @@ def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, r
     rows = rows.groupBy("leaf", "sig", "id").agg(F.min("toks").alias("toks"))
     rows = rows.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("d"), F.min("toks").alias("toks"))
     todo = materialize(rows, "masked")
-    done = None
-    for _ in range(rounds):
-        seed = todo.groupBy("leaf").agg(F.max_by(F.struct("sig", "toks"), F.struct("d", "toks")).alias("s"))
-        near = todo.join(seed, "leaf")
-        same = F.aggregate(F.zip_with(F.split("toks", " "), F.split("s.toks", " "), lambda a, b: (a == b).cast("int")),
-                           F.lit(0), lambda x, y: x + y)
-        near = near.withColumn("in", same >= alike * F.size(F.split("toks", " ")))
-        near = materialize(near.select("leaf", "sig", "d", "toks", "in", F.col("s.sig").alias("template")), "round")
-        got = near.where("in").select("sig", "template")
-        done = got if done is None else done.union(got)
-        todo = near.where("not in").select("leaf", "sig", "d", "toks")
-    done = done.union(todo.select("sig", F.col("sig").alias("template")))
+    order = Window.partitionBy("leaf").orderBy(F.desc("d"), F.desc("toks"))
+    shape = "array<struct<sig:bigint,tok:array<string>>>"
+    done, most = lines.select("sig", F.col("sig").alias("template")).limit(0), 1
+    while True:
+        # a line's documents are counted once per masked line: never too few
+        left = todo.groupBy("leaf").agg(F.sum("d").alias("s")).where(F.col("s") >= least).select("leaf")
+        left = materialize(left, "open")
+        if left.isEmpty():
+            break
+        todo = _with(todo, left, "leaf")
+        first = todo.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        # at most ``most`` lines of a leaf
+        first = first.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "sig", F.split("toks", " ").alias("tok")))).alias("s"))
+        new = F.aggregate("s", F.array().cast(shape), lambda found, x: F.when(
+            F.exists(found, lambda t: _alike(x["tok"], t["tok"], alike)), found).otherwise(
+            F.concat(found, F.array(F.struct(x["sig"].alias("sig"), x["tok"].alias("tok"))).cast(shape))))
+        first = materialize(first.select("leaf", new.alias("seeds")), "seeds")
+        # a generator's output is made once: a line is split once for all seeds
+        near = _with(todo.select("leaf", "sig", "d", "toks", F.explode(F.array(F.split("toks", " "))).alias("tok")), first, "leaf")
+        joined = F.filter("seeds", lambda t: _alike(F.col("tok"), t["tok"], alike))
+        near = materialize(near.select("leaf", "sig", "d", "toks", F.get(joined, F.lit(0))["sig"].alias("template")), "round")
+        done = done.union(near.where("template is not null").select("sig", "template"))
+        todo = near.where("template is null").select("leaf", "sig", "d", "toks")
+        most = min(8 * most, seeds)
     done = materialize(done, "templates")
     met = _with(lines.select("sig", "id"), done, "sig").select("template", "id").distinct()
     hot = met.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)

@@ -57,6 +57,35 @@ def test_template_texts_and_repeated_ids(spark):
     assert "unique line" in kept[500] and "Posted" not in kept[500] and kept[70] is None
 
 
+def test_every_template_of_a_leaf(spark):
+    """Twelve templates of one leaf, of twelve different lines each, and lines
+    that no other agrees with; against one template at a time in plain Python."""
+    data = []
+    for k in range(12):
+        text = [f"12 34 56 {' '.join(f'kind{chr(97 + t)}{w}' for w in 'abcdef')} {'xyzuvwrstopq'[k]}var" for t in range(12)]
+        text.append(f"12 34 56 {' '.join(chr(97 + k) * 2 + w for w in 'abcdefg')}")
+        data.append((k, "\n".join(text)))
+    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    docs_of = {}
+    for i, text in data:
+        for line in text.split("\n"):
+            docs_of.setdefault(tuple("<*>" if any(c.isdigit() for c in t) else t for t in line.split()), set()).add(i)
+    todo, gone = sorted(docs_of, key=lambda t: (len(docs_of[t]), " ".join(t)), reverse=True), set()
+    while todo:
+        near = [t for t in todo if sum(a == b for a, b in zip(t, todo[0])) >= L.ALIKE * len(t)]
+        if len(set().union(*(docs_of[t] for t in near))) >= L.LEAST_DOCS:
+            gone |= set(near)
+        todo = [t for t in todo if t not in near]
+    assert len(gone) == 144
+    for seeds in (3, L.SEEDS):
+        found = L.templates(L.parse(d), seeds=seeds)
+        assert found.count() == 144 and found.select("template").distinct().count() == 12
+    out = L.drop_recurring(d)
+    no_python(out)
+    for r in out.collect():
+        assert r["n_dropped"] == 12 and r["clean_text"] == data[r["row"]["doc_id"]][1].split("\n")[-1]
+
+
 # ---- rollups
 
 CH = "source string, lang string, tokenizer string, op string, n_tokens bigint, old_tokens bigint, n_docs bigint, batch string"
