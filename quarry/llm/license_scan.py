@@ -13,6 +13,12 @@ probabilities.  A family predicted with probability ``LEAST`` or more is
 *confirmed* when the paragraph holds at least ``MATCH`` of the word 3-grams of
 one of the family's notices; otherwise it counts as unknown.
 
+A notice may also be wrapped over lines.  Consecutive lines with a word (marks
+of comments are no words) are one block; windows over its words, long enough to
+hold any notice, are compared with the notices, and where ``MATCH`` of a notice
+is found that no single line holds, the words from its first to its last common
+3-gram are scored like a paragraph.  A block counts once per family found so.
+
 DataFrame and SQL operations (and the DataFrame-based ml package) throughout.
 
 Edge cases: null or empty texts have no paragraph and no family; paragraphs of
@@ -24,6 +30,8 @@ trains on the notices alone and gives no row; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -88,6 +96,7 @@ VARIANTS = 20        # versions of a notice; one in five is held back
 SAMPLE_DOCS = 1_500  # documents (about) whose paragraphs train the unknown class
 SAMPLE_LINES = 4_000
 LEAST, MATCH = 0.5, 0.6
+COMMON = {"by", "under", "4", "0"}  # marks last, as most texts hold them
 TEMPERATURES = [0.3 * 1.25 ** k for k in range(16)]
 
 
@@ -95,6 +104,25 @@ def families() -> list[str]:
     return sorted([*NOTICES, UNKNOWN])
 
 
+def _cut(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def _marks() -> list[str]:
+    """Words without which no text holds ``MATCH`` of any notice's 3-grams:
+    long words of each notice, until the 3-grams without them are too few."""
+    marks = set()
+    for t in (_cut(n) for f in NOTICES for n in NOTICES[f]):
+        every = {tuple(t[i:i + 3]) for i in range(len(t) - 2)}
+        got = set()
+        for w in sorted(set(t), key=lambda w: (w in COMMON, -len(w), w)):
+            if sum(not got & set(g) for g in every) < MATCH * len(every):
+                break
+            got.add(w)
+        marks |= got
+    return sorted(marks)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -121,6 +149,42 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return lines.select("id", "pos", words(F.col("line")).alias("tok")).where(F.size("tok") > 0)
 
 
+def wrapped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, want, match, tok) of the notices that blocks of lines hold and
+    none of their lines does: the notice's family, its share that was found and
+    the words from its first to its last common 3-gram."""
+    spark = docs.sparkSession
+    longest = max(len(_cut(n)) for f in NOTICES for n in NOTICES[f])
+    text = F.col(f"`{text_col}`")
+    marks = F.array(*[F.lit(m) for m in _marks()])
+    # most texts go here, before any word is cut
+    low = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.explode(F.array(F.lower(text))).alias("low"))
+    low = low.where(F.exists(marks, lambda m: F.contains("low", m)))
+    blocks = low.select("id", F.posexplode(F.split("t", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("pos", "block"))
+    blocks = blocks.where(F.instr("block", "\n") > 0)
+    blocks = blocks.where(F.arrays_overlap(words(F.col("block")), marks))
+    cut = F.flatten(F.transform(F.split("block", "\n"), lambda x, i: F.transform(words(x), lambda w: F.struct(w.alias("w"), i.alias("i")))))
+    # a generator's output is made once and then read by all expressions below
+    rows = blocks.select("id", "pos", F.explode(F.array(cut)).alias("all")).where(F.size("all") > 2)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("all") - longest, F.lit(1)), F.lit(longest))
+    rows = rows.select("id", "pos", F.explode(F.transform(starts, lambda k: F.slice("all", k, 2 * longest))).alias("win"))
+    rows = rows.select("id", "pos", "win", F.explode(F.array(grams(F.col("win.w"), 3))).alias("g"))
+    known = notices(spark).select("family", F.array_distinct(grams(F.col("tok"), 3)).alias("want")).where(F.size("want") > 0)
+    ours = sorted({" ".join(t[i:i + 3]) for t in (_cut(n) for f in NOTICES for n in NOTICES[f]) for i in range(len(t) - 2)})
+    rows = rows.where(F.exists("g", lambda x: x.isin(ours))).crossJoin(F.broadcast(known))  # the notices above
+    rows = rows.where(F.size(F.array_intersect("g", "want")) >= MATCH * F.size("want"))
+    at = F.filter(F.transform("g", lambda x, p: F.when(F.array_contains("want", x), p)), lambda p: p.isNotNull())
+    rows = rows.select("*", F.explode(F.array(at)).alias("at"))
+    line = lambda p: F.get(F.col("win.i"), p)
+    inside = F.filter("at", lambda p: line(p) == line(p + 2))
+    held = lambda i: F.size(F.array_distinct(F.transform(F.filter(inside, lambda p: line(p) == i), lambda p: F.get("g", p))))
+    alone = F.exists(F.array_distinct(F.transform(inside, line)), lambda i: held(i) >= MATCH * F.size("want"))
+    first, last = F.array_min("at"), F.array_max("at")
+    return rows.where(~alone).select("id", "pos", F.col("family").alias("want"),
+                                     (F.size(F.array_intersect("g", "want")) / F.size("want")).alias("match"),
+                                     F.slice(F.col("win.w"), first + 1, last - first + 3).alias("tok"))
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(family, tok, fold): fold 0 is held back for calibration."""
     spark = docs.sparkSession
@@ -187,7 +251,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Sc
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, family, prob, match, confirmed) of the paragraphs whose
-    predicted family is a licence."""
+    predicted family is a licence, and of the blocks of lines that hold a
+    wrapped notice; ``pos`` is the number of the line or of the block."""
     unknown = families().index(UNKNOWN)
     found = scanner.scored(paragraphs(docs, id_col, text_col)).where(F.col("prediction") != unknown)
     # scores are written once: later expressions read them instead of scoring again
@@ -201,6 +266,12 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
     hit = found.join(F.broadcast(known), "family", "left")  # the notices above
     match = F.coalesce(F.size(F.array_intersect("have", "want")) / F.size("want"), F.lit(0.0))
     hit = hit.groupBy("id", "pos", "family", "prob").agg(F.max(match).alias("match"))
+    # notices over several lines; few rows reach the model
+    over = scanner.scored(materialize(wrapped(docs, id_col, text_col), "wrapped")).withColumn("k", F.col("prediction").cast("int") + 1)
+    over = over.where(F.element_at(names, F.col("k")) == F.col("want")).select(
+        "id", "pos", F.col("want").alias("family"), Scanner._chance(F.col("raw"), F.col("k"), scanner.temperature).alias("prob"), "match")
+    over = over.where(F.col("prob") >= LEAST).groupBy("id", "pos", "family").agg(F.max("prob").alias("prob"), F.max("match").alias("match"))
+    hit = hit.unionByName(over)
     return hit.withColumn("confirmed", F.col("match") >= MATCH)
 
 

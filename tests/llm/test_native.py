@@ -139,6 +139,29 @@ def test_licences(spark):
     assert {i: f for i, f in got.items() if f} == want
 
 
+def test_wrapped_notices(spark):
+    """Each notice as a comment cut at 72 columns and, if it is short, over two
+    lines; between lines of prose, with a blank line or without."""
+    import textwrap
+
+    data, want = [r for r in rows() if r[0] != 60], {}
+    for family, notes in sorted(S.NOTICES.items()):
+        for note in notes:
+            lines = textwrap.wrap(note, 70 if len(note) > 70 else max(len(note) * 2 // 3, 20), break_long_words=False)
+            for mark, gap in (("# ", "\n"), (" * ", "\n\n")):
+                i = 300 + len(want)
+                data.append((i, gap.join([data[i % 30][1], "\n".join(mark + x for x in lines), data[i % 30 + 1][1]]), "en", "s", 1, *["x"] * 10))
+                want[i] = family
+    far = S.NOTICES["bsd"][0].split()
+    data.append((600, "\n\n".join(" ".join(far[k:k + 5]) for k in range(0, len(far), 5)), "en", "s", 1, *["x"] * 10))
+    d = docs(spark, data)
+    out = S.by_document(d, S.train(d))
+    no_python(out)
+    got = {r["doc_id"]: (r["families"], r["n_confirmed"]) for r in out.collect()}
+    assert not {i: (f, got[i]) for i, f in want.items() if f not in got[i][0].split(",")}
+    assert {i for i, (f, _) in got.items() if f} == set(want)
+
+
 def test_licences_of_an_empty_table(spark):
     e = docs(spark, [])
     assert S.by_document(e, S.train(e)).count() == 0
