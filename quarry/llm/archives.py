@@ -15,6 +15,9 @@ record a WARC record with
   ``least`` bytes is held by a record with a larger page number; a revisit keeps
   the HTTP header and names the record it refers to.
 
+The archives written here begin with a version block and are dealt to both
+versions unless one is asked for, so the reader meets both header formats.
+
 Archives are whole files written by Spark's text writer (the record separator
 is the line separator), gzip-compressed, so lost executors only repeat their
 tasks; they are read back whole, one bounded archive per row, and parsed as a
@@ -61,10 +64,18 @@ def _folder(df: DataFrame, name: str) -> str:
 
 # ---- ARC -----------------------------------------------------------------
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page_id", url_col: str = "url",
+def version_block(version: int) -> str:
+    """The record at the head of an ARC file, without the line break behind it."""
+    names = f"{version} 0 quarry\n{ARC_FIELDS[version]}\n"
+    middle = {1: "", 2: "200 - - 0 pages.arc "}[version]
+    return f"filedesc://pages.arc 0.0.0.0 {DATE} text/plain {middle}{len(names)}\n{names}"
+
+
+def write_arc(pages: DataFrame, path: str, version: int | None = None, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> None:
     """Pages as ARC files of about ``ARCHIVE_BYTES`` each, the way old crawlers
-    stored them: an HTTP response per record."""
+    stored them: a version block, then an HTTP response per record.  Without a
+    ``version`` the archives are dealt to versions 1 and 2, two at least."""
     body = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     url = F.coalesce(F.url_encode(F.col(f"`{url_col}`")), F.lit("about:blank"))
     for quoted, plain in (("%3A", ":"), ("%2F", "/"), ("%3F", "?"), ("%3D", "="), ("%26", "&"), ("%23", "#")):
@@ -74,10 +85,16 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page
                     F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     size = (F.octet_length(http) + F.octet_length(body)).cast("string")
     middle = {1: F.lit(f" 192.0.2.1 {DATE} text/html "), 2: F.lit(f" 192.0.2.1 {DATE} text/html 200 - - 0 pages.arc ")}
-    rows = pages.select(F.concat(url, middle[version], size, F.lit("\n"), http, body).alias("value"),
-                        F.octet_length(body).alias("n"))
+    form = middle[version] if version else F.when(F.col("_v") == 1, middle[1]).otherwise(middle[2])
     total = pages.agg(F.sum(F.octet_length(body) + 200)).first()[0] or 0
-    rows = rows.repartition(int(max(1, -(-total // ARCHIVE_BYTES)))).select("value")
+    files = int(max(1 if version else 2, -(-total // ARCHIVE_BYTES)))
+    rows = pages.select(F.struct(url.alias("url"), size.alias("size"), http.alias("http"), body.alias("body")).alias("r")).repartition(files)
+    rows = rows.withColumn("_v", F.spark_partition_id() % 2 + 1)
+    # the version block stands before the first record of a file
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    block = {v: F.lit(version_block(v) + "\n") for v in (1, 2)}
+    head = F.when(F.col("_v") == 1, block[1]).otherwise(block[2]) if version is None else block[version]
+    rows = rows.select(F.concat(F.when(first, head).otherwise(""), "r.url", form, "r.size", F.lit("\n"), "r.http", "r.body").alias("value"))
     rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -327,9 +344,9 @@ def read_back(source: DataFrame, warc_path: str) -> DataFrame:
                                                      "refers_to")
 
 
-def pages_through_archives(pages: DataFrame, version: int = 1, least: int = LEAST) -> DataFrame:
+def pages_through_archives(pages: DataFrame, version: int | None = None, least: int = LEAST) -> DataFrame:
     """Pages -> ARC files -> WARC files -> one row per record read back."""
     arc, warc = _folder(pages, "arc"), _folder(pages, "warc")
     write_arc(pages, arc, version)
-    convert(pages, arc, warc, version, least)
+    convert(pages, arc, warc, least=least)  # the version blocks tell the versions
     return read_back(pages, warc)

@@ -34,6 +34,21 @@ def test_empty_table(spark):
     assert A.pages_through_archives(spark.createDataFrame([], P)).count() == 0
 
 
+def test_archives_of_both_versions(spark, tmp_path):
+    data, df = pages(spark)
+    A.write_arc(df, str(tmp_path / "arc"))
+    seen, n = set(), 0
+    for f in (tmp_path / "arc").glob("part-*"):
+        raw = f.read_bytes()
+        assert gzip.decompress(raw).startswith(b"filedesc://")
+        for head, _ in A.arc_records(raw):
+            seen.add(tuple(head))
+            n += 1
+    assert n == len(data) and seen == {tuple(x.split()) for x in A.ARC_FIELDS.values()}
+    got = sorted(map(tuple, A.pages_through_archives(df).collect()), key=str)
+    assert got == sorted(map(tuple, A.pages_through_archives(df, 1).collect()), key=str)
+
+
 def test_version_block_and_spaces_in_urls():
     one = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<html>\n\n</html>"
     v2 = b"2 0 Crawl\n" + A.ARC_FIELDS[2].encode() + b"\n"
