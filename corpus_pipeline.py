@@ -14,15 +14,16 @@ from quarry.llm import decontaminate, jaccard_join, language_crf, mixing, token_
 from quarry.llm.registry import END_ID, vocabulary
 from quarry.session import materialize, read_table
 
-#: A document whose most likely language holds less of its words is rejected.
+#: A document whose words' labels are less certain on average is rejected.
 MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a main language go."""
+    """Documents without a letter or with uncertain word labels go; a document
+    in several languages stays when its words are clear."""
     model = language_crf.train(docs)
     out = language_crf.predict(docs, model, keep=docs.columns)
-    return out.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("row.*")
+    return out.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("sure") >= MIN_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

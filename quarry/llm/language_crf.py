@@ -280,15 +280,15 @@ def label_chunk(m: Model, data: np.ndarray, offsets: np.ndarray):
 
 def predict(docs: DataFrame, m: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per document: ``row`` (a struct of the kept columns), lang_pred,
-    score, n_words, and ``runs``: the stretches of equal word labels as
-    (first word, words, label)."""
+    score, n_words, ``runs``: the stretches of equal word labels as (first word,
+    words, label), and ``sure``: the mean of each word's largest marginal."""
     kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     shared = docs.sparkSession.sparkContext.broadcast(m)
     run_t = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()),
                                       T.StructField("lang", T.StringType())]))
     shape = T.StructType([T.StructField("row", kept), T.StructField("lang_pred", T.StringType()),
                           T.StructField("score", T.DoubleType()), T.StructField("n_words", T.LongType()),
-                          T.StructField("runs", run_t)])
+                          T.StructField("runs", run_t), T.StructField("sure", T.DoubleType())])
     inside = list(keep).index(text_col) if text_col in keep else None
     arrow_run = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 
@@ -304,6 +304,8 @@ def predict(docs: DataFrame, m: Model, text_col: str = "text", keep: Sequence[st
                 share = (total[edge[1:]] - total[edge[:-1]]) / np.maximum(per, 1)[:, None]
                 best = np.where(per > 0, share.argmax(axis=1), len(model.labels))
                 score = np.where(per > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
+                top = np.concatenate([[0.0], np.cumsum(g.max(axis=1))])
+                sure = np.clip((top[edge[1:]] - top[edge[:-1]]) / np.maximum(per, 1), 0, 1)
                 lab = g.argmax(axis=1) if len(g) else np.zeros(0, int)
                 turn = np.ones(len(lab), bool)
                 turn[1:] = lab[1:] != lab[:-1]
@@ -318,7 +320,8 @@ def predict(docs: DataFrame, m: Model, text_col: str = "text", keep: Sequence[st
                 runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs_per)]).astype(np.int32)), runs)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), names.take(pa.array(best)), pa.array(score),
-                     pa.array(per.astype(np.int64)), runs], names=["row", "lang_pred", "score", "n_words", "runs"])
+                     pa.array(per.astype(np.int64)), runs, pa.array(sure)],
+                    names=["row", "lang_pred", "score", "n_words", "runs", "sure"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     given = docs.select(row, F.col(f"`{text_col}`").alias("_text")) if inside is None else docs.select(row)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline as P
@@ -33,6 +35,17 @@ def test_stages_on_an_empty_table(spark, tmp_path, k):
     assert P.STAGES[k][1](spark, docs(spark, []), str(tmp_path)).count() == 0
 
 
+def test_clean_documents_in_several_languages_stay(spark, tmp_path):
+    rng = random.Random(3)
+    words = {"de": "und der nicht schon".split(), "en": "the with that have".split(), "fr": "les avec pour dans".split()}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    data = [(i, say(x, 40), x, "s", 1, *["x"] * 10) for i, x in enumerate(sorted(words) * 30)]
+    data += [(1000, "\n".join([say("en", 30), say("fr", 30)]), None, "s", 1, *["x"] * 10),
+             (1001, "\n".join(say(x, 30) for x in sorted(words)), None, "s", 1, *["x"] * 10)]
+    out = P.language_id(spark, docs(spark, data), str(tmp_path))
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r[0] for r in data}
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
