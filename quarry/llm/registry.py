@@ -22,6 +22,15 @@ def vocabulary() -> str:
         return f.read()
 
 
+def vocabulary_pair() -> tuple[str, bytes]:
+    """The public byte-level vocabulary as text and the public piece model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, \
+            open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return a.read(), b.read()
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -270,3 +279,10 @@ FROM p JOIN s USING (anchor_id)
 WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 10"""
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    from quarry.llm import tokenizer_alignment as A
+
+    return A.align(table(spark, sf, "documents"), *vocabulary_pair())[0]
