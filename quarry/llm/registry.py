@@ -286,3 +286,13 @@ def op12_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     from quarry.llm import tokenizer_alignment as A
 
     return A.align(table(spark, sf, "documents"), *vocabulary_pair())[0]
+
+
+@query
+def op11_page_difference(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import page_difference as P
+
+    out = P.extract(table(spark, sf, "pages")).select("page_id", "url", F.array_join("texts", "\n\n").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))

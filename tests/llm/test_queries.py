@@ -17,12 +17,14 @@ COLUMNS = {
     "op1": "doc_id size source_size target taken", "op2": "doc_id start n_tokens ids_crc32",
     "op4": "doc_id held_out lang_pred score", "op5": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op6": "page_id payload_bytes payload_digest record_type refers_to", "op7": "query_id rank vec_id score",
-    "op9": "doc_id n_shingles component_id",
+    "op9": "doc_id n_shingles component_id", "op11": "page_id url text n_chars",
+    "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
 def test_one_query_per_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
