@@ -59,8 +59,8 @@ RADIX = 16                 # runs of a block; a power of two
 BLOCK_BYTES = 1_000_000    # text in a block
 FRAME = 8192               # pairs in one compressed frame of a counting run
 FAN = 32                   # runs merged at once
-KEEP = 200_000             # units a worker remembers
-GROUP_BYTES = 16 << 20     # runs of one radix that a task reads
+KEEP = 300_000             # units a worker remembers
+GROUP_BYTES = 4 << 20      # runs of one radix that a task reads
 
 RUNS = "block bigint, part int, radix int, records bigint, head binary, body binary, docs binary"
 TOTALS = "radix int, seq int, totals binary"
@@ -225,9 +225,16 @@ class Units:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=spec_b)
         byte = _byte_of()
-        self.bytes_a = {i: bytes(byte.get(c, 0) for c in t) for t, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.bytes_a[i] = bytes(byte.get(c, 0) for c in t)
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode()
                         for i, t in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        # an id as text: first inside a group, then at the end of its side
+        n, m = len(self.bytes_a), len(self.bytes_b)
+        self.written = [f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)] + [f"{i}," for i in range(m)] + [f"{i};" for i in range(m)]
         self.reset()
 
     def reset(self) -> None:
@@ -236,42 +243,52 @@ class Units:
         self.sums = np.zeros((0, 5), np.int64)  # tokens of A and B, groups, links, uncovered
         self.links, self.edge = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def align(self, a: list[int], b: list[int], want: bytes) -> tuple[str, tuple, list[int]]:
-        x, y = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(x) != want or b"".join(y) != want:
-            return "", (0, 0, 0, 0, 1), []
-        i = j = from_a = from_b = 0
-        end_a, end_b = len(x[0]), len(y[0])
-        links, groups = [], []
-        while True:
-            links.append((b[j] << 32) | a[i])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_a:i + 1])) + "|" + ",".join(map(str, b[from_b:j + 1])))
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups), (len(a), len(b), len(groups), len(links), 0), links
-                from_a, from_b = i, j
-                end_a, end_b = end_a + len(x[i]), end_b + len(y[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(x[i])
-            else:
-                j += 1
-                end_b += len(y[j])
+    def align(self, a: list[list[int]], b: list[list[int]], want: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups, sums and links of units whose ids in A and B are given and
+        cover the same bytes.  On the concatenation of all units: every offset
+        where a token of A or B ends closes one link, every offset where both
+        end closes one group."""
+        edge = np.concatenate([[0], np.cumsum(list(map(len, want)))])
+        per = [np.array(list(map(len, x)), np.int64) for x in (a, b)]
+        ids = [np.fromiter((i for x in y for i in x), np.int64, int(n.sum())) for y, n in zip((a, b), per)]
+        ends = [np.cumsum(size[i]) for size, i in zip((self.size_a, self.size_b), ids)]
+        either = np.union1d(*ends)
+        both = np.intersect1d(*ends, assume_unique=True)
+        at = [np.searchsorted(e, either) for e in ends]
+        links = (ids[1][at[1]] << 32) | ids[0][at[0]]
+        n_links, n_groups = (np.diff(np.searchsorted(x, edge, "right")) for x in (either, both))
+        # texts of the tokens in group order, A before B
+        group = [np.searchsorted(both, e) for e in ends]
+        last = [e == both[g] for e, g in zip(ends, group)]
+        n, m = len(self.bytes_a), len(self.bytes_b)
+        code = np.concatenate([ids[0] + n * last[0], 2 * n + ids[1] + m * last[1]])
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        words = [self.written[c] for c in code[order].tolist()]
+        stop = np.concatenate([[0], np.cumsum(per[0] + per[1])]).tolist()
+        text = ["".join(words[i:j])[:-1] for i, j in zip(stop, stop[1:])]
+        return text, np.stack([per[0], per[1], n_groups, n_links, np.zeros(len(a), np.int64)], axis=1), links
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        want = [(" " + t).encode() for t in texts]
+        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
-        got = [self.align(x.ids, y, (" " + t).encode()) for x, y, t in zip(a, b, texts)]
-        first = len(self.text)
+        fine = np.array([b"".join([self.bytes_a[i] for i in x]) == w == b"".join([self.bytes_b[i] for i in y])
+                         for x, y, w in zip(a, b, want)], bool)
+        place = np.flatnonzero(fine).tolist()
+        text, sums, links = self.align([a[i] for i in place], [b[i] for i in place], [want[i] for i in place])
+        all_sums = np.zeros((len(texts), 5), np.int64)
+        all_sums[:, 4] = 1  # not covered
+        all_sums[fine] = sums
+        all_text = [""] * len(texts)
+        for i, t in zip(place, text):
+            all_text[i] = t
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.slot = np.insert(self.slot, at, first + np.arange(len(keys)))
-        self.text += [g[0] for g in got]
-        self.sums = np.concatenate([self.sums, np.array([g[1] for g in got], np.int64).reshape(-1, 5)])
-        flat = np.fromiter((k for g in got for k in g[2]), np.int64)
-        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum([len(g[2]) for g in got])]).astype(np.int64)
-        self.links = np.concatenate([self.links, flat])
+        self.slot = np.insert(self.slot, at, len(self.text) + np.arange(len(keys)))
+        self.text += all_text
+        self.sums = np.concatenate([self.sums, all_sums])
+        self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(all_sums[:, 3])])
+        self.links = np.concatenate([self.links, links])
 
     def slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Number of each unit occurrence in this store."""
