@@ -1,9 +1,8 @@
 """Time series, many in parallel.
 
 A table ``(series, ts, value)`` holds any number of series.  Parsing,
-de-duplication, aggregation to a regular grid and the decomposition's windows
-are Spark operations.  Model fits (T3-T7) are not built: they would be a local
-statistics library behind one grouped UDF.
+de-duplication, aggregation to a regular grid and the decomposition are Spark
+operations; tests and forecasts (T3-T7) are in ``forecasting``.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import clean_double, col_of
+from quarry.operators.order import with_position
+from quarry.session import materialize
 from quarry.sources.io import parse_timestamp
 
 # --- T1 ---------------------------------------------------------------------------
@@ -47,22 +48,25 @@ def to_grid(df: DataFrame, date_col: str, value_col: str, series: str | None = N
 def decompose(ts: DataFrame, period: int = 12) -> DataFrame:
     """Additive decomposition per series (T2): centred moving average trend
     (2 x period for an even period), seasonal = mean detrended value per phase
-    minus the mean of those phase means, residual = rest; trend ends are
-    null.  Windows are per series over its grid."""
-    w = Window.partitionBy("series").orderBy("ts")
-    x = ts.withColumn("pos", F.row_number().over(w) - 1)
+    minus the mean of those phase means, residual = rest; trend ends are null.
+
+    Positions are numbered over all rows at once and the moving average runs
+    inside stretches that also hold the rows around them, so one long series is
+    spread over many tasks."""
+    from quarry.operators import forecasting as C
+
+    x = materialize(with_position(ts, ["ts", "value"], by=["series"], pos_col="pos", n_col=None), "numbered")
     h = period // 2
-    wp = Window.partitionBy("series").orderBy("pos")
-    span = wp.rowsBetween(-h, h)
+    w = Window.partitionBy(*C.IN_STRETCH).orderBy("pos")
+    span = w.rowsBetween(-h, h)
+    tot = F.sum("value").over(span)
     if period % 2 == 0:
-        tot = F.sum("value").over(span) - 0.5 * (F.lag("value", h).over(wp) + F.lead("value", h).over(wp))
-    else:
-        tot = F.sum("value").over(span)
+        tot = tot - 0.5 * (F.lag("value", h).over(w) + F.lead("value", h).over(w))
     full = F.count("value").over(span) == (2 * h + 1)
-    x = x.withColumn("trend", F.when(full, tot / period))
-    x = x.withColumn("phase", F.col("pos") % period)
+    x = C.own_rows(C.with_halo(x, h, h).withColumn("trend", F.when(full, tot / period)))
+    x = materialize(x.withColumn("phase", F.col("pos") % period), "trends")  # read twice
     ph = x.groupBy("series", "phase").agg(F.avg(F.col("value") - F.col("trend")).alias("_pm"))
-    ph = ph.withColumn("seasonal", F.col("_pm") - F.avg("_pm").over(Window.partitionBy("series")))
-    out = x.join(ph.select("series", "phase", "seasonal"), ["series", "phase"])
+    seasonal = F.col("_pm") - F.avg("_pm").over(Window.partitionBy("series"))  # at most ``period`` rows
+    out = C.attach(x, ph.select("series", "phase", seasonal.alias("seasonal")), ["series", "phase"])
     return out.select("series", "ts", F.col("value").alias("observed"), "trend", "seasonal",
                       (F.col("value") - F.col("trend") - F.col("seasonal")).alias("resid"))
