@@ -14,18 +14,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 512_000
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _TRIM = _LIBC.malloc_trim
+except (OSError, AttributeError):  # another C library: nothing to set
+    _LIBC = _TRIM = None
 
 
 def _bounded_heap() -> None:
-    """Let the C library hand large freed arrays back to the system, so that
-    the Python workers of an executor do not keep the sum of their peaks."""
-    try:
-        libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)   # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
-    except (OSError, AttributeError):  # another C library: nothing to set
-        pass
+    """Let the C library hand large freed arrays back to the system, and Arrow
+    take its buffers from it, so that the Python workers of an executor do not
+    keep the sum of their peaks."""
+    if _LIBC is not None:
+        _LIBC.mallopt(-3, 1 << 20)   # M_MMAP_THRESHOLD
+        _LIBC.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+        _LIBC.mallopt(-8, 2)         # M_ARENA_MAX
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def release() -> None:
+    """Give free memory back; called after each batch of texts."""
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 _bounded_heap()
@@ -87,6 +100,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         j = min(max(j, i + 1), n)
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
+    release()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray,

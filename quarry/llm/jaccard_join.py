@@ -52,8 +52,8 @@ SHINGLE = 5
 PERCENT = 75
 ORDERED = 400_000        # most columns that carry a frequency in the column order
 LEADS = 4                # classes per column that start the components
-COUNTED = 1_200_000      # shingles counted at once in a task
-BLOCK = 1_000_000        # matrix entries of a column block
+COUNTED = 800_000        # shingles counted at once in a task
+BLOCK = 400_000          # matrix entries of a column block
 BROADCAST_IDS = 1_000_000
 _P = np.uint64(0xD6E8FEB86659FD93)
 
@@ -268,8 +268,9 @@ def shared_columns(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     def block(t: pa.Table) -> pa.Table:
         if not len(t):
             return pa.Table.from_batches([_entries(*(np.zeros(0, np.uint64),) * 4)])
-        parts = [_unpack(raw.as_py()) for c in t["data"].chunks for raw in c]
+        parts = [_unpack(raw.as_buffer()) for c in t["data"].chunks for raw in c]  # views, not copies
         h, cid, n, pos, again = (np.concatenate(x) for x in zip(*parts))
+        del parts
         order = np.lexsort((cid, h))
         h, cid, n, pos, again = h[order], cid[order], n[order], pos[order], again[order].astype(bool)
         head = np.ones(len(h), bool)
@@ -282,6 +283,7 @@ def shared_columns(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         one = head.copy()
         one[1:] |= cid[1:] != cid[:-1]  # a class may come from several tasks
         keep = keep[run] & one
+        B.release()
         return pa.Table.from_batches([_entries(h[keep], cid[keep], n[keep], pos[keep])])
 
     met = (rows.where(F.size("prefix") > 0).select("cid", "n", "prefix").mapInArrow(split, "block int, data binary")

@@ -37,7 +37,7 @@ from quarry.llm import bytewords as B
 from quarry.session import materialize
 
 LANES, STEPS, CHECK = 64, 1024, 256
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 _LOW = np.uint64(1 << 31)
 _W = np.uint64(32)
 MAGIC = b"RNS1"
@@ -175,7 +175,7 @@ class WordEncoder:
     added token (``<|``) goes to the library whole.
     """
 
-    def __init__(self, spec: str, keep: int = 3_000_000):
+    def __init__(self, spec: str, keep: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
