@@ -47,6 +47,12 @@ def clean_double(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
+def finite_double(c: Column) -> Column:
+    """A double without NaN and infinities, which have no place on a scale."""
+    d = clean_double(c)
+    return F.when(F.abs(d) != F.lit(float("inf")), d)
+
+
 def present(df: DataFrame, name: str) -> Column:
     """A column whose NaN counts as missing (floating types only)."""
     c = col_of(name)

@@ -6,7 +6,7 @@ Conventions
   final hash aggregation chosen by Spark).
 * Group keys drop nulls, as the reference's group-by does (the streaming
   aggregate keeps them; see quarry.streaming).
-* Exact quantiles come from a distributed sort (``quarry.operators.order``),
+* Exact quantiles come from histogram selection (``quarry.operators.order``),
   never from a value map merged in one task; ``approx=True`` switches to
   ``percentile_approx`` for very large inputs.
 * Results computed from a one-row aggregate are attached with a broadcast of
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import clean_double, col_of, is_datetime, is_numeric, numeric_columns, pearson, present
+from quarry.functions.stats import clean_double, col_of, finite_double, is_datetime, is_numeric, numeric_columns, pearson, present
 from quarry.operators.order import column_quantiles, exact_quantiles, join_small, with_position
 
 AGGS = ("sum", "mean", "count", "max", "min")
@@ -209,7 +209,7 @@ PROFILE_SCHEMA = ("column string, dtype string, null_count bigint, null_pct doub
 def data_quality(df: DataFrame) -> DataFrame:
     """Null count and % per column plus table completeness (A10)."""
     exprs = [F.count(F.lit(1)).alias("_rows")] + [
-        F.count(col_of(c)).alias(f"_{i}") for i, c in enumerate(df.columns)]
+        F.count(present(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)]
     wide = df.agg(*exprs)
     k = len(df.columns)
     total_nn = reduce(lambda a, b: a + b, [F.col(f"_{i}") for i in range(k)])
@@ -227,16 +227,16 @@ def pivot_mean(df: DataFrame, rows: str, cols: str, value: str, values: Sequence
     """Heatmap table: rows y, one column per x value, mean of value.
 
     The pivot values are explicit; when not given they are read with a
-    bounded distinct (``max_values`` + 1) and a wider set raises, since a
-    heatmap with more columns is not drawable - use ``group_agg`` (long form)
-    then."""
+    bounded distinct.  Above ``max_values`` of them the table comes in long form:
+    (rows, cols, mean), one row per pair, whatever their number."""
     src = _nonnull_keys(df, [rows, cols])
+    mean = F.avg(present(df, value))
     if values is None:
         vals = [r[0] for r in src.select(col_of(cols)).distinct().limit(max_values + 1).collect()]
         if len(vals) > max_values:
-            raise ValueError(f"more than {max_values} pivot values; use the long form")
+            return src.groupBy(col_of(rows), col_of(cols)).agg(mean.alias("mean"))
         values = sorted(vals)
-    return src.groupBy(col_of(rows)).pivot(cols, list(values)).agg(F.avg(col_of(value)))
+    return src.groupBy(col_of(rows)).pivot(cols, list(values)).agg(mean)
 
 
 # --- A12, A13 -------------------------------------------------------------------
@@ -260,7 +260,7 @@ def top_category(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def top_group(df: DataFrame, key: str, value: str) -> DataFrame:
     """Group with the largest total; ties to the smallest key."""
-    g = _nonnull_keys(df, [key]).groupBy(col_of(key)).agg(F.sum(col_of(value)).alias("total"))
+    g = _nonnull_keys(df, [key]).groupBy(col_of(key)).agg(F.sum(present(df, value)).alias("total"))
     return g.orderBy(F.desc("total"), col_of(key)).limit(1)
 
 
@@ -274,15 +274,19 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
     """Counts per equal-width bin, optionally split by a colour column.
-    Min/max come from a one-row aggregate broadcast onto the rows."""
+    Min/max come from a one-row aggregate broadcast onto the rows.  The bins
+    cover the finite values; infinities are counted in bins 0 and ``bins`` + 1,
+    which have no bounds."""
     x = clean_double(col_of(column))
     src = df.select(*([col_of(by).alias(by)] if by else []), x.alias("_v")).where(F.col("_v").isNotNull())
     if by:
         src = src.where(col_of(by).isNotNull())
-    mm = src.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    b = src.crossJoin(F.broadcast(mm)).withColumn("bin", bin_index(F.col("_v"), F.col("_lo"), F.col("_hi"), bins))
+    finite = finite_double(F.col("_v"))
+    mm = src.agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    inside = bin_index(finite, F.col("_lo"), F.col("_hi"), bins)
+    b = src.crossJoin(F.broadcast(mm)).withColumn("bin", F.when(finite.isNotNull(), inside).when(F.col("_v") < 0, 0).otherwise(bins + 1).cast("int"))
     keys = ([by] if by else []) + ["bin"]
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    w = F.when(F.col("bin").between(1, bins), (F.col("_hi") - F.col("_lo")) / F.lit(bins))
     return b.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"),
                                 F.first("_hi").alias("_hi")).select(
         *keys, (F.col("_lo") + (F.col("bin") - 1) * w).alias("bin_lo"),

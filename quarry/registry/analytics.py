@@ -392,3 +392,73 @@ b AS (SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM e)
 SELECT event_id, v AS value FROM e, b WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)""")
 def missing_anomalies(spark, sf):
     return R.anomalies(_with_nan(spark, sf), "value").select("event_id", "value")
+
+
+@q("missing_top_group", f"""
+SELECT event_type, round(sum(v), 2) AS total FROM (SELECT event_type, {_MISSING} AS v FROM events) WHERE event_type IS NOT NULL
+GROUP BY 1 ORDER BY sum(v) DESC, event_type LIMIT 1""")
+def missing_top_group(spark, sf):
+    from quarry.operators import aggregates as A
+
+    return A.top_group(_with_nan(spark, sf), "event_type", "value").withColumn("total", r("total", 2))
+
+
+def _with_infinity(spark, sf):
+    """events with NaN, and infinities in place of some small values."""
+    return _with_nan(spark, sf).withColumn("value", F.when(F.col("event_id") % 50 == 0, F.lit(float("inf"))).when(
+        F.col("event_id") % 77 == 0, F.lit(float("-inf"))).otherwise(F.col("value")))
+
+
+_ODD = f"""SELECT event_id, event_type, CASE WHEN event_id % 50 = 0 THEN 'inf'::DOUBLE WHEN event_id % 77 = 0 THEN '-inf'::DOUBLE ELSE {_MISSING} END AS v
+FROM events"""
+
+
+@q("missing_histogram", f"""
+WITH e AS ({_ODD}), m AS (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE isfinite(v)),
+b AS (SELECT lo, hi, CASE WHEN v = 'inf'::DOUBLE THEN 31 WHEN v = '-inf'::DOUBLE THEN 0
+                          ELSE least(CAST(floor((v - lo) / (hi - lo) * 30) AS INTEGER) + 1, 30) END AS bin FROM e, m WHERE v IS NOT NULL)
+SELECT CAST(bin AS INTEGER) AS bin, CASE WHEN bin BETWEEN 1 AND 30 THEN round(any_value(lo) + (bin - 1) * (any_value(hi) - any_value(lo)) / 30, 6) END AS bin_lo,
+       CASE WHEN bin BETWEEN 1 AND 30 THEN round(any_value(lo) + bin * (any_value(hi) - any_value(lo)) / 30, 6) END AS bin_hi, CAST(count(*) AS BIGINT) AS count
+FROM b GROUP BY bin""")
+def missing_histogram(spark, sf):
+    from quarry.operators import aggregates as A
+
+    h = A.histogram(_with_infinity(spark, sf), "value")
+    return h.withColumn("bin_lo", r("bin_lo")).withColumn("bin_hi", r("bin_hi"))
+
+
+@q("missing_zscore", f"""
+WITH e AS (SELECT * FROM ({_ODD}) WHERE isfinite(v)), s AS (SELECT event_type, avg(v) AS m, stddev_pop(v) AS d, count(*) AS n FROM e GROUP BY 1)
+SELECT event_id, round(abs((v - m) / d), 6) AS anomaly_score FROM e JOIN s USING (event_type) WHERE n >= 2 AND d > 0 AND abs((v - m) / d) > 1.5""")
+def missing_zscore(spark, sf):
+    from quarry.streaming import streams as ST
+
+    z = ST.zscore_anomalies(_with_infinity(spark, sf).withColumn("stream_id", F.col("event_type")), "value", 1.5)
+    return z.select("event_id", r("anomaly_score").alias("anomaly_score"))
+
+
+@q("missing_pivot_long", f"""
+SELECT event_type, user_id, round(avg(v), 6) AS mean FROM (SELECT event_type, user_id, {_MISSING} AS v FROM events)
+WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY 1, 2""")
+def missing_pivot_long(spark, sf):
+    """More columns than a table can show: the long form."""
+    from quarry.operators import aggregates as A
+
+    return A.pivot_mean(_with_nan(spark, sf), "event_type", "user_id", "value").withColumn("mean", r("mean"))
+
+
+@q("missing_cells", f"""
+SELECT CAST(count(*) AS BIGINT) AS record_count, CAST(6 AS BIGINT) AS column_count, CAST(3 AS BIGINT) AS numeric_column_count,
+       CAST(sum(CASE WHEN {_MISSING} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_cells FROM events""")
+def missing_cells(spark, sf):
+    from quarry.sources import io as S
+
+    return S.report_overview(_with_nan(spark, sf))
+
+
+@q("missing_quality", f"""
+SELECT 'value' AS column, CAST(sum(CASE WHEN {_MISSING} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_count FROM events""")
+def missing_quality(spark, sf):
+    from quarry.operators import aggregates as A
+
+    return A.data_quality(_with_nan(spark, sf)).where("column = 'value'").select("column", "null_count")

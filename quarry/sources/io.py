@@ -174,12 +174,22 @@ def newest(log: DataFrame, n: int = 50) -> DataFrame:
 
 # --- S9 -------------------------------------------------------------------
 def report_overview(df: DataFrame) -> DataFrame:
-    """Record / column counts for a report header (S9), one pass."""
+    """Record / column counts for a report header (S9), one pass; NaN is a
+    missing cell."""
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     nulls = None
     for c in df.columns:
-        e = F.sum(F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0))
+        e = F.sum(F.when(present(df, c).isNull(), 1).otherwise(0))
         nulls = e if nulls is None else nulls + e
     return df.agg(F.count(F.lit(1)).alias("record_count"), nulls.cast("bigint").alias("null_cells")).select(
         "record_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"),
         F.lit(len(num)).cast("bigint").alias("numeric_column_count"), "null_cells")
+
+
+def report(df: DataFrame, order_by: Sequence[str], rows: int = 100) -> dict[str, DataFrame]:
+    """The content of a report as one unit (S9): overview, describe table and
+    the first ``rows`` rows in ``order_by`` order."""
+    from quarry.operators.aggregates import describe
+    from quarry.operators.filters import preview
+
+    return {"overview": report_overview(df), "describe": describe(df), "first_rows": preview(df, order_by, rows)}

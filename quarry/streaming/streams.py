@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from quarry.functions.stats import col_of
+from quarry.functions.stats import col_of, finite_double
 from quarry.operators.order import join_small, with_position
 from quarry.session import ensure_checkpoint_dir
 
@@ -277,8 +277,9 @@ def apply_transformations(df: DataFrame, transforms: Sequence[Mapping]) -> DataF
 
 def zscore_anomalies(buffer: DataFrame, key: str, threshold: float = 3.0) -> DataFrame:
     """Records whose |z| (population std over the stream's buffer) exceeds
-    the threshold (ST7); no anomalies for fewer than 2 values or std 0."""
-    v = col_of(key).cast("double")
+    the threshold (ST7); no anomalies for fewer than 2 values or std 0.  NaN and
+    infinite values take no part."""
+    v = finite_double(col_of(key))
     st = buffer.where(v.isNotNull()).groupBy("stream_id").agg(
         F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"), F.count(v).alias("_n"))
     j = join_small(buffer.where(v.isNotNull()), st, ["stream_id"])

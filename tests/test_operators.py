@@ -271,3 +271,23 @@ def test_trend_slopes_match_polyfit(spark):
     for j, c in ((2, "a"), (3, "b")):
         y = np.array([0.0 if r[j] is None else r[j] for r in ordered])
         assert got[c] == pytest.approx(np.polyfit(x, y, 1)[0], rel=1e-9, abs=1e-12)
+
+
+def test_missing_and_infinite_values(spark):
+    from quarry.operators import aggregates as A
+    from quarry.sources import io as S
+    from quarry.streaming import streams as ST
+    nan, inf = float("nan"), float("inf")
+    g = spark.createDataFrame([("a", 3.0), ("b", nan), ("c", 9.0), ("c", nan)], "k string, v double")
+    assert tuple(A.top_group(g, "k", "v").first()) == ("c", 9.0)
+    assert {r.column: r.null_count for r in A.data_quality(g).collect()} == {"k": 0, "v": 2}
+    assert S.report_overview(g).first().null_cells == 2
+    h = spark.createDataFrame([(float(i),) for i in range(100)] + [(inf,), (-inf,), (nan,)], "v double")
+    bins = {r.bin: r["count"] for r in A.histogram(h, "v", 10).collect()}
+    assert bins == {0: 1, 11: 1, **{b: 10 for b in range(1, 11)}}
+    z = spark.createDataFrame([("s", 1.0)] * 30 + [("s", 50.0), ("s", nan), ("s", inf)], "stream_id string, v double")
+    assert [r.v for r in ST.zscore_anomalies(z, "v").collect()] == [50.0]
+    wide = spark.createDataFrame([("r", i, float(i)) for i in range(60)] + [("r", 3, nan)], "a string, b long, v double")
+    assert sorted(tuple(r) for r in A.pivot_mean(wide, "a", "b", "v").collect()) == [("r", i, float(i)) for i in range(60)]
+    got = S.report(wide, ["b", "v"], 5)
+    assert got["first_rows"].count() == 5 and got["overview"].first().record_count == 61 and got["describe"].count() == 2
