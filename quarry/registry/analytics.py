@@ -444,7 +444,7 @@ def missing_pivot_long(spark, sf):
     """More columns than a table can show: the long form."""
     from quarry.operators import aggregates as A
 
-    return A.pivot_mean(_with_nan(spark, sf), "event_type", "user_id", "value").withColumn("mean", r("mean"))
+    return A.pivot_mean(_with_nan(spark, sf), "event_type", "user_id", "value", max_values=1).withColumn("mean", r("mean"))
 
 
 @q("missing_cells", f"""
