@@ -5,8 +5,10 @@ the first ``DEPTH`` tokens (a token with a digit is variable).  In a leaf the
 most frequent line becomes a template; lines that agree with it in at least
 ``ALIKE`` of the positions join it, and where members differ the field is
 generalised to ``<*>``.  This goes on with what is left until the lines of no
-leaf could reach ``LEAST_DOCS`` together.  A template found in ``LEAST_DOCS`` or
-more documents is boilerplate: its lines are dropped.
+leaf could recur together.  A template that recurs is boilerplate: its lines are
+dropped.  A line of ``LONG`` or more tokens recurs from ``LEAST_LONG`` documents,
+since a whole passage is not met twice by chance; a shorter line, which may be a
+commonplace, from ``LEAST_DOCS`` on.
 
 A round settles the most frequent lines of every leaf at once, one in the first
 round and up to ``SEEDS`` later: in order of frequency each of them that agrees
@@ -37,6 +39,7 @@ DEPTH = 3
 ALIKE = 0.7
 SEEDS = 64  # lines of a leaf settled in a round; decides the work, not the result
 LEAST_DOCS = 10
+LONG, LEAST_LONG = 50, 2
 BROADCAST_ROWS = 500_000  # of at most two longs
 
 
@@ -50,9 +53,9 @@ def _tokens(line: Column) -> Column:
 
 
 def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table of all lines with a token: (id, th, pos, leaf, sig, toks);
-    ``th`` is a hash of the text, ``leaf`` the place in the tree and ``sig`` a
-    hash of the masked line."""
+    """Written table of all lines with a token: (id, th, pos, leaf, sig, toks, n);
+    ``th`` is a hash of the text, ``leaf`` the place in the tree, ``sig`` a
+    hash of the masked line and ``n`` its number of tokens."""
     text = F.col(f"`{text_col}`")
     lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -60,7 +63,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lines = lines.select("id", "th", "pos", F.explode(F.array(_tokens(F.col("line")))).alias("tok")).where(F.size("tok") > 0)
     leaf = F.xxhash64(F.size("tok"), F.slice("tok", 1, DEPTH))
     return materialize(lines.select("id", "th", "pos", leaf.alias("leaf"), F.xxhash64("tok").alias("sig"),
-                                    F.array_join("tok", " ").alias("toks")), "lines")
+                                    F.array_join("tok", " ").alias("toks"), F.size("tok").alias("n")), "lines")
 
 
 def _with(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
@@ -77,19 +80,21 @@ def _alike(a: Column, b: Column, alike: float) -> Column:
 def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, seeds: int = SEEDS) -> DataFrame:
     """Written table (sig, template id, n_docs) of the lines of recurring
     templates; the template id is the ``sig`` of its first line."""
-    full = lines.select("leaf", "id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") >= least)
-    full = materialize(full.select("leaf"), "leaves")
+    # the lines of a leaf have one length
+    need = F.when(F.col("n") >= LONG, F.lit(min(least, LEAST_LONG))).otherwise(F.lit(least))
+    full = lines.select("leaf", "n", "id").distinct().groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("d"))
+    full = materialize(full.select("leaf", need.alias("need"), "d").where("d >= need").drop("d"), "leaves")
     # distinct masked lines of the leaves that reach enough documents
     rows = _with(lines.select("leaf", "sig", "id", "toks"), full, "leaf")
-    rows = rows.groupBy("leaf", "sig", "id").agg(F.min("toks").alias("toks"))
-    rows = rows.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("d"), F.min("toks").alias("toks"))
+    rows = rows.groupBy("leaf", "need", "sig", "id").agg(F.min("toks").alias("toks"))
+    rows = rows.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("d"), F.min("toks").alias("toks"))
     todo = materialize(rows, "masked")
     order = Window.partitionBy("leaf").orderBy(F.desc("d"), F.desc("toks"))
     shape = "array<struct<sig:bigint,tok:array<string>>>"
-    done, most = lines.select("sig", F.col("sig").alias("template")).limit(0), 1
+    done, most = lines.select("sig", F.col("sig").alias("template"), F.lit(least).alias("need")).limit(0), 1
     while True:
         # a line's documents are counted once per masked line: never too few
-        left = todo.groupBy("leaf").agg(F.sum("d").alias("s")).where(F.col("s") >= least).select("leaf")
+        left = todo.groupBy("leaf", "need").agg(F.sum("d").alias("s")).where("s >= need").select("leaf")
         left = materialize(left, "open")
         if left.isEmpty():
             break
@@ -102,15 +107,15 @@ def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, s
             F.concat(found, F.array(F.struct(x["sig"].alias("sig"), x["tok"].alias("tok"))).cast(shape))))
         first = materialize(first.select("leaf", new.alias("seeds")), "seeds")
         # a generator's output is made once: a line is split once for all seeds
-        near = _with(todo.select("leaf", "sig", "d", "toks", F.explode(F.array(F.split("toks", " "))).alias("tok")), first, "leaf")
+        near = _with(todo.select("leaf", "need", "sig", "d", "toks", F.explode(F.array(F.split("toks", " "))).alias("tok")), first, "leaf")
         joined = F.filter("seeds", lambda t: _alike(F.col("tok"), t["tok"], alike))
-        near = materialize(near.select("leaf", "sig", "d", "toks", F.get(joined, F.lit(0))["sig"].alias("template")), "round")
-        done = done.union(near.where("template is not null").select("sig", "template"))
-        todo = near.where("template is null").select("leaf", "sig", "d", "toks")
+        near = materialize(near.select("leaf", "need", "sig", "d", "toks", F.get(joined, F.lit(0))["sig"].alias("template")), "round")
+        done = done.union(near.where("template is not null").select("sig", "template", "need"))
+        todo = near.where("template is null").select("leaf", "need", "sig", "d", "toks")
         most = min(8 * most, seeds)
     done = materialize(done, "templates")
-    met = _with(lines.select("sig", "id"), done, "sig").select("template", "id").distinct()
-    hot = met.groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= least)
+    met = _with(lines.select("sig", "id"), done, "sig").select("template", "need", "id").distinct()
+    hot = met.groupBy("template", "need").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= need").drop("need")
     return materialize(done.join(hot, "template").select("sig", "template", "n_docs"), "recurring")
 
 

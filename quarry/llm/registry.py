@@ -213,30 +213,26 @@ def op10_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
 
 
-def _template_round(k: int) -> str:
-    """One round of the template tree in SQL: seed per leaf, then who joins it."""
-    return f"""
-seed{k} AS (SELECT leaf, sig AS ssig, tok AS stok FROM todo{k}
-            QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY d DESC, sig DESC) = 1),
-near{k} AS (SELECT leaf, sig, tok, d, ssig, list_sum(list_transform(range(1, len(tok) + 1),
-                   lambda i: CAST(tok[i] = stok[i] AS INTEGER))) >= CAST(0.7 AS DOUBLE) * len(tok) AS inside
-            FROM todo{k} JOIN seed{k} USING (leaf)),
-todo{k + 1} AS (SELECT leaf, sig, tok, d FROM near{k} WHERE NOT inside),"""
-
-
-ORACLE["op10_line_templates"] = rf"""
-WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+ORACLE["op10_line_templates"] = r"""
+WITH RECURSIVE raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM raw),
 toks AS (SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x09-\x0D\x20]+'), lambda t: t <> ''),
                 lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tok FROM lines),
-l AS (SELECT doc_id, pos, tok, array_to_string(tok, ' ') AS sig,
+l AS (SELECT doc_id, pos, tok, array_to_string(tok, ' ') AS sig, CASE WHEN len(tok) >= 50 THEN 2 ELSE 10 END AS need,
              concat(len(tok), ' ', array_to_string(tok[1:3], ' ')) AS leaf FROM toks WHERE len(tok) > 0),
-big AS (SELECT leaf FROM l GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
-todo0 AS (SELECT leaf, sig, any_value(tok) AS tok, count(DISTINCT doc_id) AS d
-          FROM l JOIN big USING (leaf) GROUP BY leaf, sig),{_template_round(0)}{_template_round(1)}{_template_round(2)}
-done AS (SELECT sig, ssig AS template FROM near0 WHERE inside UNION ALL SELECT sig, ssig FROM near1 WHERE inside
-         UNION ALL SELECT sig, ssig FROM near2 WHERE inside UNION ALL SELECT sig, sig FROM todo3),
-hot AS (SELECT template FROM l JOIN done USING (sig) GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+big AS (SELECT leaf FROM l GROUP BY leaf, need HAVING count(DISTINCT doc_id) >= need),
+-- every step settles the most frequent line of each leaf that could still recur, and all lines like it
+tree AS (SELECT leaf, need, sig, any_value(tok) AS tok, count(DISTINCT doc_id) AS d, CAST(NULL AS VARCHAR) AS template
+         FROM l JOIN big USING (leaf) GROUP BY leaf, need, sig
+         UNION ALL
+         SELECT leaf, need, sig, tok, d, CASE WHEN list_sum(list_transform(range(1, len(tok) + 1),
+                    lambda i: CAST(tok[i] = stok[i] AS INTEGER))) >= CAST(0.7 AS DOUBLE) * len(tok) THEN ssig END
+         FROM (SELECT leaf, need, sig, tok, d, first_value(tok) OVER w AS stok, first_value(sig) OVER w AS ssig,
+                      sum(d) OVER (PARTITION BY leaf) AS s
+               FROM tree WHERE template IS NULL WINDOW w AS (PARTITION BY leaf ORDER BY d DESC, sig DESC))
+         WHERE s >= need),
+done AS (SELECT sig, template FROM tree WHERE template IS NOT NULL),
+hot AS (SELECT template FROM l JOIN done USING (sig) GROUP BY template, need HAVING count(DISTINCT doc_id) >= need),
 gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM l JOIN done USING (sig) JOIN hot USING (template) GROUP BY doc_id)
 SELECT raw.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        md5(coalesce(CASE WHEN gone IS NULL THEN text ELSE array_to_string(

@@ -30,9 +30,43 @@ def lined():
     return data
 
 
+def passages():
+    """A passage of 60 words in two documents, one in three that differs in a
+    tenth of its words, one of 40 words in nine, and lines of their own."""
+    long = [f"word{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}" for k in range(60)]
+    near = ["near", *long[1:]]
+    data = []
+    for k in range(9):
+        text = [" ".join(f"own{'abcdefghi'[k]}{w}" for w in long), "brief " + " ".join(long[:39])]
+        if k < 2:
+            text.append(" ".join(long))
+        elif k < 5:
+            text.append(" ".join(f"{w}{'xyz'[k - 2]}" if i > 3 and i % 10 == 0 else w for i, w in enumerate(near)))
+        data.append((700 + k, "\n".join(text), "en", "s", 1, *["x"] * 10))
+    return data
+
+
+def leaf_of_twelve():
+    """Twelve templates of one leaf, of twelve different lines each, and lines
+    that no other agrees with."""
+    data = []
+    for k in range(12):
+        text = [f"12 34 56 {' '.join(f'kind{chr(97 + t)}{w}' for w in 'abcdef')} {'xyzuvwrstopq'[k]}var" for t in range(12)]
+        text.append(f"12 34 56 {' '.join(chr(97 + k) * 2 + w for w in 'abcdefg')}")
+        data.append((800 + k, "\n".join(text)))
+    return data
+
+
+def test_long_passages_recur_from_two_documents(spark):
+    got = {r["row"]["doc_id"]: (r["n_dropped"], r["clean_text"]) for r in L.drop_recurring(docs(spark, passages())).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {700 + k: int(k < 5) for k in range(9)}
+    assert all(t == "\n".join(d[1].split("\n")[:2]) for d in passages() for t in [got[d[0]][1]])
+
+
 @pytest.mark.parametrize("part", ["all", "none"])
 def test_templates_against_sql(spark, part):
-    data = [r for r in lined() if r[0] not in (78, None)] if part == "all" else []
+    more = [(*r, "en", "s", 1, *["x"] * 10) for r in leaf_of_twelve()]
+    data = [r for r in lined() + passages() + more if r[0] not in (78, None)] if part == "all" else []
     out = L.drop_recurring(docs(spark, data).select("doc_id", "text")).select(
         "row.doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
     no_python(out)
@@ -58,13 +92,8 @@ def test_template_texts_and_repeated_ids(spark):
 
 
 def test_every_template_of_a_leaf(spark):
-    """Twelve templates of one leaf, of twelve different lines each, and lines
-    that no other agrees with; against one template at a time in plain Python."""
-    data = []
-    for k in range(12):
-        text = [f"12 34 56 {' '.join(f'kind{chr(97 + t)}{w}' for w in 'abcdef')} {'xyzuvwrstopq'[k]}var" for t in range(12)]
-        text.append(f"12 34 56 {' '.join(chr(97 + k) * 2 + w for w in 'abcdefg')}")
-        data.append((k, "\n".join(text)))
+    """Against one template at a time in plain Python."""
+    data = leaf_of_twelve()
     d = spark.createDataFrame(data, "doc_id bigint, text string")
     docs_of = {}
     for i, text in data:
@@ -83,7 +112,7 @@ def test_every_template_of_a_leaf(spark):
     out = L.drop_recurring(d)
     no_python(out)
     for r in out.collect():
-        assert r["n_dropped"] == 12 and r["clean_text"] == data[r["row"]["doc_id"]][1].split("\n")[-1]
+        assert r["n_dropped"] == 12 and r["clean_text"] == data[r["row"]["doc_id"] - 800][1].split("\n")[-1]
 
 
 # ---- rollups
