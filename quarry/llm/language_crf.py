@@ -12,8 +12,10 @@ that switches occur, and the chains are dealt to ``SHARDS`` groups.  Every
 round each group takes ``STEPS`` adaptive gradient steps from the common
 weights and the driver averages the results (weights only: ``2**BITS`` x labels).
 
-Sequences are lines, cut after ``LONGEST`` words, so that the work arrays stay
-small for any text; all sequences of a chunk advance side by side.
+Sequences are whole lines.  Those of a chunk advance side by side in pieces of
+``PIECE`` words; what a piece does to the message that enters it is one matrix, and
+the matrices of a line's pieces, multiplied in order, give every piece the messages
+from both its sides, so the marginals are those of the uncut line.
 
 Edge cases: null or letterless text gives label ``und`` and score 0, and so
 does a table with no labelled training text; ties go to the label that sorts
@@ -37,7 +39,7 @@ from quarry.llm import bytewords as B
 BITS = 18
 TRAIN_DOCS = 500
 SHARDS, ROUNDS, STEPS, RATE = 6, 2, 16, 0.4
-LONGEST = 256
+PIECE = 256  # decides the work, not the result
 UNKNOWN = "und"
 _WORD = B.table((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _SALT = {k: B.mix(np.array([k + 1], np.uint64))[0] for k in range(12)}
@@ -64,7 +66,7 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray):
     """(folded bytes, starts, ends, words per text, chain breaks): a break is
-    the first word of a line or of the next ``LONGEST`` words."""
+    the first word of a line."""
     low = fold(data)
     starts, ends, per = B.spans(low, offsets, _WORD)
     # runs of other bytes above 0x7F (quotes, symbols) hold no letter
@@ -92,9 +94,6 @@ def words(data: np.ndarray, offsets: np.ndarray):
         begin[edge[:-1][per > 0]] = True
         line = np.searchsorted(np.flatnonzero(low == 0x0A), starts)
         begin[1:] |= line[1:] != line[:-1]
-        at = np.flatnonzero(begin)
-        since = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
-        begin |= since % LONGEST == 0
     return low, starts, ends, per, begin
 
 
@@ -137,29 +136,64 @@ def scores(f, w, count, weights) -> np.ndarray:
 
 # ---- forward-backward ----------------------------------------------------
 
-def marginals(emit: np.ndarray, begin: np.ndarray, m: Model, pairs: bool = False):
+def enter(p: np.ndarray, move: np.ndarray, at: np.ndarray, size: np.ndarray, nth: np.ndarray, x: np.ndarray):
+    """Messages that enter the pieces of cut chains: ``x`` (a row per piece) gets
+    those of its first word, the result those behind its last word.  ``nth`` is the
+    place of a piece in its chain, 0 where it starts one."""
+    k = p.shape[1]
+    behind = np.ones((len(at), k))
+    cut = np.flatnonzero((nth > 0) | (np.append(nth[1:], 0) > 0))
+    if not len(cut):
+        return behind
+    # what a piece does to the message of its first word, up to its last word
+    cut = cut[np.argsort(-size[cut], kind="stable")]
+    through = np.tile(np.eye(k), (len(cut), 1, 1))
+    for t in range(1, int(size[cut[0]])):
+        c = int(np.searchsorted(-size[cut], -t, side="left"))
+        y = (through[:c] @ move) * p[at[cut[:c]] + t][:, None, :]
+        through[:c] = y / y.sum(axis=(1, 2), keepdims=True)
+    step = np.empty((len(at), k, k))
+    step[cut] = through
+    place = np.argsort(nth, kind="stable")
+    edge = np.searchsorted(nth[place], np.arange(int(nth.max()) + 2))
+    for d in range(1, len(edge) - 1):
+        i = place[edge[d]:edge[d + 1]]
+        y = ((x[i - 1][:, None, :] @ step[i - 1])[:, 0] @ move) * p[at[i]]
+        x[i] = y / y.sum(axis=1, keepdims=True)
+    for d in range(len(edge) - 2, 0, -1):
+        i = place[edge[d]:edge[d + 1]]
+        y = (p[at[i]] * (step[i] @ behind[i][:, :, None])[:, :, 0]) @ move.T
+        behind[i - 1] = y / y.sum(axis=1, keepdims=True)
+    return behind
+
+
+def marginals(emit: np.ndarray, begin: np.ndarray, m: Model, pairs: bool = False, piece: int = PIECE):
     """Label probabilities of every word; with ``pairs`` also the expected
     transitions.  ``emit`` are scores per word, ``begin`` marks chain starts."""
     n, k = emit.shape
     at = np.flatnonzero(begin)
+    since = np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))
+    at = np.flatnonzero(since % piece == 0)
+    nth = since[at] // piece
     size = np.diff(np.append(at, n))
-    order = np.argsort(-size, kind="stable")
-    at, size = at[order], size[order]
     p = np.exp(emit - emit.max(axis=1, keepdims=True))
     move = np.exp(m.moves - m.moves.max())
+    x = np.exp(m.first - m.first.max()) * p[at]
+    x /= x.sum(axis=1, keepdims=True)
+    behind = enter(p, move, at, size, nth, x)
+    order = np.argsort(-size, kind="stable")
+    at, size, x = at[order], size[order], x[order]
     a = np.empty((n, k))
     b = np.ones((n, k))
+    b[at + size - 1] = behind[order]
     longest = int(size[0]) if len(size) else 0
-    active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # chains longer than t
-    x = np.exp(m.first - m.first.max()) * p[at]
-    x /= x.sum(axis=1, keepdims=True)
+    active = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # pieces longer than t
     a[at] = x
     for t in range(1, longest):
         i = at[:active[t]] + t
         x = (x[:active[t]] @ move) * p[i]
         x /= x.sum(axis=1, keepdims=True)
         a[i] = x
-    y = np.ones((0, k))
     for t in range(longest - 2, -1, -1):
         c = active[t + 1]
         i = at[:c] + t
@@ -189,8 +223,6 @@ def train_shard(m: Model, lines: list[str], marks: list[int]) -> Model:
     chain = np.zeros(len(line), bool)
     chain[0] = True
     chain[1:] = (line[1:] // 4) != (line[:-1] // 4)
-    at = np.flatnonzero(chain)
-    chain |= (np.arange(len(line)) - np.repeat(at, np.diff(np.append(at, len(line))))) % LONGEST == 0
     f, w, back, count = distinct(low, starts, ends)
     k = len(m.labels)
     gold = np.zeros((len(label), k))

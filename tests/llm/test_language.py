@@ -14,7 +14,6 @@ def test_marginals_against_enumeration():
     m = L.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
     emit = rng.normal(size=(6, 3))
     begin = np.array([1, 0, 0, 0, 1, 0], bool)
-    got, pairs = L.marginals(emit, begin, m, pairs=True)
     want, moves = np.zeros((6, 3)), np.zeros((3, 3))
     for at in ([0, 1, 2, 3], [4, 5]):
         part = []
@@ -27,7 +26,21 @@ def test_marginals_against_enumeration():
                 want[i, y] += p / z
             for a, b in zip(path, path[1:]):
                 moves[a, b] += p / z
-    assert np.allclose(got, want) and np.allclose(pairs, moves)
+    for piece in (1, 2, 3, L.PIECE):  # pieces of a line change nothing
+        got, pairs = L.marginals(emit, begin, m, pairs=True, piece=piece)
+        assert np.allclose(got, want) and np.allclose(pairs, moves)
+
+
+def test_long_lines_are_not_cut():
+    rng = np.random.default_rng(5)
+    m = L.Model(list("abcd"), np.zeros((1, 4)), rng.normal(size=(4, 4)) * 2, rng.normal(size=4))
+    emit = rng.normal(size=(9000, 4)) * 3
+    begin = np.zeros(9000, bool)
+    begin[[0, 1, 300, 812, 813, 8900]] = True
+    whole, moves = L.marginals(emit, begin, m, pairs=True, piece=10**6)
+    for piece in (7, L.PIECE):
+        got, pairs = L.marginals(emit, begin, m, pairs=True, piece=piece)
+        assert np.allclose(got, whole) and np.allclose(pairs, moves)
 
 
 def test_edge_cases_and_accuracy(spark):
