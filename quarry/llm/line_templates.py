@@ -33,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.temp import discard
 from quarry.session import materialize
 
 DEPTH = 3
@@ -41,6 +42,7 @@ SEEDS = 64  # lines of a leaf settled in a round; decides the work, not the resu
 LEAST_DOCS = 10
 LONG, LEAST_LONG = 50, 2
 BROADCAST_ROWS = 500_000  # of at most two longs
+BROADCAST_TOKENS = 250_000  # in rows with token lists
 
 
 def _tokens(line: Column) -> Column:
@@ -71,6 +73,14 @@ def _with(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
+def _with_seeds(big: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Join with the seeds of a leaf, broadcast only when all their tokens are
+    few; else both sides are shuffled and sorted, so that nothing has to fit."""
+    tokens = F.aggregate("seeds", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tok"]) + 4)
+    n = seeds.agg(F.sum(tokens)).first()[0] or 0
+    return big.join(F.broadcast(seeds) if n <= BROADCAST_TOKENS else seeds.hint("merge"), "leaf")
+
+
 def _alike(a: Column, b: Column, alike: float) -> Column:
     """Whether two token lists of one length agree in enough positions."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
@@ -88,7 +98,7 @@ def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, s
     rows = _with(lines.select("leaf", "sig", "id", "toks"), full, "leaf")
     rows = rows.groupBy("leaf", "need", "sig", "id").agg(F.min("toks").alias("toks"))
     rows = rows.groupBy("leaf", "need", "sig").agg(F.count(F.lit(1)).alias("d"), F.min("toks").alias("toks"))
-    todo = materialize(rows, "masked")
+    todo = masked = materialize(rows, "masked")
     order = Window.partitionBy("leaf").orderBy(F.desc("d"), F.desc("toks"))
     shape = "array<struct<sig:bigint,tok:array<string>>>"
     done, most = lines.select("sig", F.col("sig").alias("template"), F.lit(least).alias("need")).limit(0), 1
@@ -107,13 +117,16 @@ def templates(lines: DataFrame, least: int = LEAST_DOCS, alike: float = ALIKE, s
             F.concat(found, F.array(F.struct(x["sig"].alias("sig"), x["tok"].alias("tok"))).cast(shape))))
         first = materialize(first.select("leaf", new.alias("seeds")), "seeds")
         # a generator's output is made once: a line is split once for all seeds
-        near = _with(todo.select("leaf", "need", "sig", "d", "toks", F.explode(F.array(F.split("toks", " "))).alias("tok")), first, "leaf")
+        near = _with_seeds(todo, first).withColumn("tok", F.explode(F.array(F.split("toks", " "))))
         joined = F.filter("seeds", lambda t: _alike(F.col("tok"), t["tok"], alike))
-        near = materialize(near.select("leaf", "need", "sig", "d", "toks", F.get(joined, F.lit(0))["sig"].alias("template")), "round")
+        near = near.select("leaf", "need", "sig", "d", "toks", F.get(joined, F.lit(0))["sig"].alias("template"))
+        near = materialize(near.withColumn("toks", F.expr("if(template is null, toks, null)")), "round")
+        discard(first)
         done = done.union(near.where("template is not null").select("sig", "template", "need"))
         todo = near.where("template is null").select("leaf", "need", "sig", "d", "toks")
         most = min(8 * most, seeds)
     done = materialize(done, "templates")
+    discard(masked)
     met = _with(lines.select("sig", "id"), done, "sig").select("template", "need", "id").distinct()
     hot = met.groupBy("template", "need").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= need").drop("need")
     return materialize(done.join(hot, "template").select("sig", "template", "n_docs"), "recurring")
