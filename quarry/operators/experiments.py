@@ -22,12 +22,14 @@ from quarry.functions import dist
 from quarry.functions.stats import clean_double, col_of
 from quarry.operators.order import cumulative_sum, join_small, with_position
 
-# Effect-size cut points (Cohen's d and Cramer's V) and texts.
+# Effect-size cut points (Cohen's d and Cramer's V).
 D_CUTS = ((0.2, "Negligible"), (0.5, "Small"), (0.8, "Medium"))
 V_CUTS = ((0.1, "Negligible"), (0.3, "Small"), (0.5, "Medium"))
-NOT_SIG = "No statistically significant difference. More data or continue with current variant."
-B_BETTER = "Variant B is significantly better. Consider implementing."
-A_BETTER = "Variant A is significantly better. Continue with current variant."
+NOT_SIG = "no difference shown: keep A or collect more"
+B_BETTER = "B is ahead: switch to B"
+A_BETTER = "A is ahead: keep A"
+SOME_DIFFER = "some variants differ"
+NONE_DIFFER = "no difference between variants shown"
 
 
 def _label(x: Column, cuts) -> Column:
@@ -80,6 +82,15 @@ def paired_summary(frame: DataFrame) -> DataFrame:
     return wide.withColumn("valid", (F.coalesce(F.col("n_a"), F.lit(0)) >= 2) & (F.coalesce(F.col("n_b"), F.lit(0)) >= 2))
 
 
+def invalid_experiments(frame: DataFrame) -> DataFrame:
+    """Experiments that no test can take, with their sizes and the reason (X1):
+    a variant with fewer than 2 observations, or none at all."""
+    n = [F.coalesce(F.col(f"n_{v}"), F.lit(0)).alias(f"n_{v}") for v in ("a", "b")]
+    why = F.concat(F.lit("too few observations: "), F.concat_ws(" and ", *[
+        F.when(F.coalesce(F.col(f"n_{v}"), F.lit(0)) < 2, v.upper()) for v in ("a", "b")]))
+    return paired_summary(frame).where("NOT valid").select("experiment", *n, why.alias("error"))
+
+
 # --- X2 ---------------------------------------------------------------------------
 def t_test(frame: DataFrame, equal_var: bool = True, alpha: float = 0.05, with_p: bool = True) -> DataFrame:
     """Independent two-sample t-test per experiment."""
@@ -287,7 +298,9 @@ def sequential_test(frame: DataFrame, order_by: Sequence[str], alpha: float = 0.
 # --- X8 ---------------------------------------------------------------------------
 def anova(df: DataFrame, group: str, value: str, experiment: str | None = None, alpha: float = 0.05,
           with_p: bool = True) -> DataFrame:
-    """One-way ANOVA over all variants of each experiment."""
+    """One-way ANOVA over all variants of each experiment (X8).  The means of
+    the variants are a table of their own, ``variant_means``: an experiment may
+    have any number of variants."""
     ex = col_of(experiment).cast("string") if experiment else F.lit("all")
     src = df.select(ex.alias("experiment"), col_of(group).cast("string").alias("variant"),
                     clean_double(col_of(value)).alias("value")).where("value IS NOT NULL AND variant IS NOT NULL")
@@ -307,10 +320,24 @@ def anova(df: DataFrame, group: str, value: str, experiment: str | None = None,
     if with_p:
         out = out.withColumn("p_value", dist.f_pvalue(F.col("f_statistic"), F.col("num_variants") - 1,
                                                       F.col("n") - F.col("num_variants")))
-        out = out.withColumn("is_significant", F.col("p_value") < alpha)
+        out = out.withColumn("is_significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
+        out = out.withColumn("recommendation", F.when(F.col("is_significant"), SOME_DIFFER).otherwise(NONE_DIFFER))
     return out
 
 
+def variant_means(df: DataFrame, group: str, value: str, experiment: str | None = None) -> DataFrame:
+    """(experiment, variant, n, mean, vs_others) behind ``anova``: each variant's mean
+    and how far it stands from the mean of all other rows of its experiment."""
+    ex = col_of(experiment).cast("string") if experiment else F.lit("all")
+    src = df.select(ex.alias("experiment"), col_of(group).cast("string").alias("variant"),
+                    clean_double(col_of(value)).alias("value")).where("value IS NOT NULL AND variant IS NOT NULL")
+    g = src.groupBy("experiment", "variant").agg(F.count("value").alias("n"), F.sum("value").alias("s"))
+    tot = g.groupBy("experiment").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s_all"))
+    others = F.try_divide(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n"))
+    return join_small(g, tot, ["experiment"]).select("experiment", "variant", "n", (F.col("s") / F.col("n")).alias("mean"),
+                                                     (F.col("s") / F.col("n") - others).alias("vs_others"))
+
+
 # --- X9 ---------------------------------------------------------------------------
 def overview(frame: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Experiment listing: summary per experiment left-joined to stored

@@ -27,11 +27,39 @@ def _frame(spark, sf):
                               "1-URGENT", "2-HIGH", order_by=["o_orderkey"])
 
 
+def _by_customer(spark, sf):
+    """Experiments = customers, with a handful of orders each: exact rank sums, short t tests, many
+    experiments that are too small."""
+    return X.experiment_frame(t(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_totalprice",
+                              "1-URGENT", "2-HIGH", order_by=["o_orderkey"])
+
+
+# Tails by Simpson's rule: of F (and t, whose square is F with one degree) over an angle, of chi-square (and the
+# normal distribution, whose square has one degree) over a root.
+def _simpson(f, top, steps):
+    return (f"({top} / {3 * steps} * (SELECT sum(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * "
+            f"({f(f'({top} * i / {steps})')})) FROM range(0, {steps + 1}) g(i)))")
+
+
+def _f_tail_sql(f, d1, d2):
+    scale = f"2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0))"
+    inside = _simpson(lambda x: f"sin({x}) ^ ({d1} - 1) * cos({x}) ^ ({d2} - 1)", f"atan(sqrt({d1} * {f} / {d2}))", 400)
+    return f"(1 - {scale} * {inside})"
+
+
+def _chi2_tail_sql(x, k):
+    inside = _simpson(lambda u: f"{u} ^ ({k} - 1) * exp(- {u} * {u} / 2)", f"least(sqrt({x}), 40.0)", 2000)
+    return f"(1 - 2 * exp(- lgamma({k} / 2.0)) / 2.0 ^ ({k} / 2.0) * {inside})"
+
+
 _FRAME_SQL = """(SELECT o_orderstatus AS experiment,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'A' ELSE 'B' END AS variant, o_totalprice AS value, o_orderkey
   FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice IS NOT NULL
     AND o_orderstatus IS NOT NULL)"""
 
+_CUSTOMER_SQL = _FRAME_SQL.replace("SELECT o_orderstatus AS", "SELECT CAST(o_custkey AS VARCHAR) AS").replace(
+    "o_orderstatus IS NOT NULL", "o_custkey IS NOT NULL")
+
 _PAIR_SQL = f"""(SELECT experiment,
    count(*) FILTER (WHERE variant = 'A') AS n_a, count(*) FILTER (WHERE variant = 'B') AS n_b,
    avg(value) FILTER (WHERE variant = 'A') AS mean_a, avg(value) FILTER (WHERE variant = 'B') AS mean_b,
@@ -63,9 +91,42 @@ def ab_t_test(spark, sf):
     return round_all(X.t_test(_frame(spark, sf), with_p=False))
 
 
-@q("ab_t_test_p")
+def _t_p_sql(frame):
+    return f"""
+WITH p AS (SELECT *, ((n_a - 1) * std_a ^ 2 + (n_b - 1) * std_b ^ 2) / (n_a + n_b - 2) AS pv
+           FROM {_PAIR_SQL.replace(_FRAME_SQL, frame)} WHERE n_a >= 2 AND n_b >= 2),
+r AS (SELECT *, (mean_a - mean_b) / sqrt(pv * (1.0 / n_a + 1.0 / n_b)) AS t, n_a + n_b - 2 AS df,
+             CASE WHEN pv > 0 THEN (mean_b - mean_a) / sqrt(pv) ELSE 0.0 END AS d FROM p),
+x AS (SELECT *, {_f_tail_sql("(t * t)", "1", "df")} AS pval FROM r)
+SELECT experiment, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, round(mean_a, 6) AS variant_a_mean,
+       round(mean_b, 6) AS variant_b_mean, round(t, 6) AS t_statistic, round(CAST(df AS DOUBLE), 6) AS df,
+       round(d, 6) AS cohens_d, round(mean_b - mean_a, 6) AS mean_difference,
+       CASE WHEN abs(d) < 0.2 THEN 'Negligible' WHEN abs(d) < 0.5 THEN 'Small' WHEN abs(d) < 0.8 THEN 'Medium'
+            ELSE 'Large' END AS effect_size_interpretation,
+       round(pval, 6) AS p_value, pval < 0.05 AS is_significant,
+       CASE WHEN pval >= 0.05 THEN '{X.NOT_SIG}' WHEN mean_b > mean_a THEN '{X.B_BETTER}' ELSE '{X.A_BETTER}' END
+         AS recommendation
+FROM x"""
+
+
+@q("ab_t_test_p", _t_p_sql(_FRAME_SQL))
 def ab_t_test_p(spark, sf):
-    return X.t_test(_frame(spark, sf))
+    return round_all(X.t_test(_frame(spark, sf)))
+
+
+@q("ab_t_test_customers", _t_p_sql(_CUSTOMER_SQL))
+def ab_t_test_customers(spark, sf):
+    return round_all(X.t_test(_by_customer(spark, sf)))
+
+
+@q("ab_invalid", f"""
+WITH s AS (SELECT experiment, count(*) FILTER (WHERE variant = 'A') AS n_a, count(*) FILTER (WHERE variant = 'B') AS n_b
+           FROM {_CUSTOMER_SQL} GROUP BY experiment)
+SELECT experiment, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, 'too few observations: ' ||
+       CASE WHEN n_a < 2 AND n_b < 2 THEN 'A and B' WHEN n_a < 2 THEN 'A' ELSE 'B' END AS error
+FROM s WHERE n_a < 2 OR n_b < 2""")
+def ab_invalid(spark, sf):
+    return X.invalid_experiments(_by_customer(spark, sf))
 
 
 @q("ab_welch_test", f"""
@@ -94,9 +155,47 @@ def ab_mann_whitney(spark, sf):
     return round_all(X.mann_whitney(_frame(spark, sf), with_p=False))
 
 
-@q("ab_mann_whitney_p")
+def _mwu_p_sql(frame):
+    """The normal branch by Simpson's rule; the exact one counts all arrangements:
+    ways(a, b, u) = ways(a - 1, b, u - b) + ways(a, b - 1, u), the largest value being of A or of B."""
+    z = "(greatest(u, n_a * n_b - u) - n_a * n_b / 2.0 - 0.5) / sqrt(n_a * n_b / 12.0 * ((n + 1) - ties / (n * (n - 1))))"
+    return f"""
+WITH RECURSIVE f AS {frame},
+r AS (SELECT experiment, variant, value, count(*) OVER (PARTITION BY experiment, value) AS same,
+             rank() OVER (PARTITION BY experiment ORDER BY value)
+             + (count(*) OVER (PARTITION BY experiment, value) - 1) / 2.0 AS rk FROM f),
+s AS (SELECT experiment, sum(rk) FILTER (WHERE variant = 'A') AS r_a, count(*) FILTER (WHERE variant = 'A') AS n_a,
+             count(*) FILTER (WHERE variant = 'B') AS n_b, count(*) AS n, sum(same * same - 1) AS ties, max(same) AS most,
+             quantile_cont(value, 0.5) FILTER (WHERE variant = 'A') AS median_a,
+             quantile_cont(value, 0.5) FILTER (WHERE variant = 'B') AS median_b FROM r GROUP BY experiment),
+u AS (SELECT *, r_a - n_a * (n_a + 1) / 2.0 AS u, least(n_a, n_b) <= 8 AND most = 1 AS exact FROM s
+      WHERE n_a >= 2 AND n_b >= 2),
+lim AS (SELECT coalesce(max(n_a), 0) AS la, coalesce(max(n_b), 0) AS lb FROM u WHERE exact),
+ways AS (SELECT 0 AS a, 0 AS b, 0 AS u, 1.0::DOUBLE AS c
+         UNION ALL
+         SELECT a, b, u, sum(c) FROM (
+           SELECT w.a + d.x AS a, w.b + 1 - d.x AS b, w.u + d.x * w.b AS u, w.c
+           FROM ways w, (VALUES (0), (1)) d(x), lim WHERE w.a + d.x <= la AND w.b + 1 - d.x <= lb) GROUP BY a, b, u),
+e AS (SELECT x.experiment, least(1.0, 2 * sum(w.c) FILTER (WHERE w.u >= greatest(x.u, n_a * n_b - x.u)) / sum(w.c)) AS p
+      FROM u x JOIN ways w ON w.a = x.n_a AND w.b = x.n_b WHERE x.exact GROUP BY x.experiment),
+z AS (SELECT *, {z} AS z FROM u),
+p AS (SELECT z.*, CASE WHEN exact THEN e.p WHEN z <= 0 THEN 1.0 ELSE {_chi2_tail_sql("(z * z)", "1")} END AS pval
+      FROM z LEFT JOIN e USING (experiment))
+SELECT experiment, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, round(u, 6) AS u_statistic,
+       round(median_a, 6) AS median_a, round(median_b, 6) AS median_b, round(pval, 6) AS p_value, pval < 0.05 AS is_significant,
+       CASE WHEN pval >= 0.05 THEN '{X.NOT_SIG}' WHEN median_b > median_a THEN '{X.B_BETTER}' ELSE '{X.A_BETTER}' END
+         AS recommendation
+FROM p"""
+
+
+@q("ab_mann_whitney_p", _mwu_p_sql(_FRAME_SQL))
 def ab_mann_whitney_p(spark, sf):
-    return X.mann_whitney(_frame(spark, sf))
+    return round_all(X.mann_whitney(_frame(spark, sf)))
+
+
+@q("ab_mann_whitney_customers", _mwu_p_sql(_CUSTOMER_SQL))
+def ab_mann_whitney_customers(spark, sf):
+    return round_all(X.mann_whitney(_by_customer(spark, sf)))
 
 
 def _chi_sql(src):
@@ -138,9 +237,22 @@ def chi_square_2x2(spark, sf):
     return round_all(X.chi_square(o, "o_orderstatus", "urgent", with_p=False))
 
 
-@q("chi_square_p")
+def _chi_p_sql(key):
+    tail = _chi2_tail_sql("chi_square_statistic", "degrees_of_freedom")
+    return f"""SELECT *, round({tail}, 4) AS p_value, {tail} < 0.05 AS is_significant FROM ({SQL[key]})"""
+
+
+@q("chi_square_p", _chi_p_sql("chi_square"))
 def chi_square_p(spark, sf):
-    return X.chi_square(t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+    out = round_all(X.chi_square(t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
+    return out.withColumn("p_value", F.round("p_value", 4))
+
+
+@q("chi_square_2x2_p", _chi_p_sql("chi_square_2x2"))
+def chi_square_2x2_p(spark, sf):
+    o = t(spark, sf, "orders").where("o_orderstatus IN ('F', 'O') AND o_orderpriority IS NOT NULL")
+    o = o.withColumn("urgent", F.expr(_URGENT))
+    return round_all(X.chi_square(o, "o_orderstatus", "urgent")).withColumn("p_value", F.round("p_value", 4))
 
 
 _ZA, _ZB = dist.norm_ppf(0.975), dist.norm_ppf(0.8)
@@ -182,9 +294,21 @@ def sequential_t(spark, sf):
     return round_all(X.sequential_t(_frame(spark, sf), ["o_orderkey"]), 4)
 
 
-@q("sequential_test")
+_SEQUENTIAL_SQL = SQL["sequential_t"].replace("round((ma", "(ma").replace("0), 4) AS t_statistic", "0) AS t_statistic")
+
+
+@q("sequential_test", f"""
+WITH ts AS ({_SEQUENTIAL_SQL}),
+p AS (SELECT *, {_f_tail_sql("(t_statistic * t_statistic)", "1", "(2 * n - 2)")} AS p FROM ts WHERE abs(t_statistic) > 1.9),
+f AS (SELECT experiment, min(n) AS n FROM p WHERE p < 0.05 GROUP BY experiment),
+l AS (SELECT experiment, count(*) AS looks FROM ts GROUP BY experiment)
+SELECT l.experiment, CAST(coalesce(f.n, looks) AS BIGINT) AS stopped_at_n, round(p.p, 6) AS p_value,
+       round(p.t_statistic, 6) AS final_t_statistic,
+       CASE WHEN f.n IS NOT NULL THEN 'Significant difference detected'
+            ELSE 'No significant difference at current sample size' END AS conclusion
+FROM l LEFT JOIN f USING (experiment) LEFT JOIN p ON p.experiment = f.experiment AND p.n = f.n""")
 def sequential_test(spark, sf):
-    return X.sequential_test(_frame(spark, sf), ["o_orderkey"])
+    return round_all(X.sequential_test(_frame(spark, sf), ["o_orderkey"]))
 
 
 @q("anova", """
@@ -199,9 +323,26 @@ def anova(spark, sf):
     return round_all(X.anova(t(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus", with_p=False))
 
 
-@q("anova_p")
+_ANOVA_TAIL = _f_tail_sql("f", "(num_variants - 1)", "(n - num_variants)")
+
+
+@q("anova_p", f"""
+WITH a AS ({SQL["anova"].replace("round((sum(", "(sum(").replace("(nn - k)), 6) AS f_statistic", "(nn - k)) AS f")}),
+p AS (SELECT *, {_ANOVA_TAIL} AS p FROM a)
+SELECT experiment, num_variants, n, round(f, 6) AS f_statistic, round(p, 6) AS p_value, p < 0.05 AS is_significant,
+       CASE WHEN p < 0.05 THEN '{X.SOME_DIFFER}' ELSE '{X.NONE_DIFFER}' END AS recommendation FROM p""")
 def anova_p(spark, sf):
-    return X.anova(t(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus")
+    return round_all(X.anova(t(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus"))
+
+
+@q("anova_means", """
+WITH g AS (SELECT o_orderstatus AS experiment, o_orderpriority AS variant, count(*) AS n, sum(o_totalprice) AS s
+           FROM orders WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2)
+SELECT experiment, variant, CAST(n AS BIGINT) AS n, round(s / n, 4) AS mean,
+       round(s / n - (sum(s) OVER e - s) / nullif(sum(n) OVER e - n, 0), 4) AS vs_others
+FROM g WINDOW e AS (PARTITION BY experiment)""")
+def anova_means(spark, sf):
+    return round_all(X.variant_means(t(spark, sf, "orders"), "o_orderpriority", "o_totalprice", "o_orderstatus"), 4)
 
 
 @q("ab_overview", f"""

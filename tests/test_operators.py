@@ -1,8 +1,10 @@
 """Operator behaviour on small literals: nulls, ties, edge cases, and
 brute-force comparisons for the distributed algorithms."""
 
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,6 +183,38 @@ def test_mann_whitney_exact_small():
     assert dist.mwu_exact_p(0, 3, 3) == pytest.approx(0.1)
 
 
+@pytest.mark.parametrize("n1,n2", [(1, 9), (2, 5), (6, 4), (8, 8)])
+def test_mann_whitney_exact_counts_all_arrangements(n1, n2):
+    ways = Counter(sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1))
+    us = list(range(n1 * n2 + 1))
+    want = [min(1.0, 2 * sum(v for k, v in ways.items() if k >= max(u, n1 * n2 - u)) / math.comb(n1 + n2, n1)) for u in us]
+    assert dist.mwu_exact_p(us, n1, n2) == pytest.approx(want, abs=1e-12)
+
+
+def test_mann_whitney_exact_takes_any_larger_side():
+    # one value against n: it may stand at any of n + 1 places
+    n = 10 ** 9
+    assert dist.mwu_exact_p(n // 4, 1, n) == pytest.approx(0.5, abs=1e-8)
+    sd = math.sqrt(8 * n * (n + 9) / 12)
+    assert dist.mwu_exact_p(4 * n - 1.5 * sd, 8, n) == pytest.approx(2 * dist.norm_sf(1.5), abs=5e-3)
+
+
+@pytest.mark.parametrize("df", [1e4, 1e6, 1e9, 1e12])
+def test_tails_of_large_samples(df):
+    """t, F and chi-square over ever more observations tend to the normal distribution and to each other."""
+    t = np.array([0.0, 0.5, 1.7, 1.8, 3.0, 6.0])
+    fourth = (t ** 3 + t) / 2 * np.exp(-t * t / 2) / math.sqrt(2 * math.pi) / df  # first correction of the t tail
+    assert dist.t_sf2(t, df) == pytest.approx(2 * dist.norm_sf(t) + fourth, rel=1e-3, abs=1e-9)
+    assert dist.f_sf(t * t, 1, df) == pytest.approx(dist.t_sf2(t, df), rel=1e-9)
+    assert dist.f_sf([0.9, 1.5], 10, df) == pytest.approx(dist.chi2_sf([9.0, 15.0], 10), rel=50 / df + 1e-4)
+
+
+def test_tails_without_a_value():
+    assert np.isnan(dist.t_sf2([np.nan, 1.0, 1.0], [3, 0, np.nan])).all()
+    assert np.isnan(dist.chi2_sf([np.nan, 1.0], [1, 0])).all() and np.isnan(dist.mwu_exact_p([3.0, np.nan], [9, 3], [9, 3])).all()
+    assert len(dist.norm_sf(np.array([]))) == 0
+
+
 def test_chi_square_yates_by_hand(spark):
     rows = [("x", "p")] * 10 + [("x", "q")] * 20 + [("y", "p")] * 30 + [("y", "q")] * 5
     df = spark.createDataFrame(rows, "r string, c string")
