@@ -6,8 +6,8 @@ Conventions
   final hash aggregation chosen by Spark).
 * Group keys drop nulls, as the reference's group-by does (the streaming
   aggregate keeps them; see quarry.streaming).
-* Exact quantiles come from histogram selection (``quarry.operators.order``),
-  never from a value map merged in one task; ``approx=True`` switches to
+* Exact quantiles come from sketch brackets or histogram selection
+  (``quarry.operators.order``), never from a value map merged in one task; ``approx=True`` switches to
   ``percentile_approx`` for very large inputs.
 * Results computed from a one-row aggregate are attached with a broadcast of
   that one row (a proven size).
@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import clean_double, col_of, finite_double, is_datetime, is_numeric, numeric_columns, pearson, present
-from quarry.operators.order import column_quantiles, exact_quantiles, join_small, with_position
+from quarry.operators.filters import sample_values
+from quarry.operators.order import bracket_exprs, column_quantiles, exact_quantiles, join_small, quantiles_between, with_position
 
 AGGS = ("sum", "mean", "count", "max", "min")
 
@@ -132,12 +133,14 @@ def _unpivot_stats(df: DataFrame, cols: Sequence[str], stats: Sequence[tuple[str
     single row whose size depends on the column count only; it is turned
     into the long table directly instead of through a wide generated
     projection."""
-    exprs = []
-    for i, c in enumerate(cols):
-        x = clean_double(col_of(c))
-        for nm, fn in stats:
-            exprs.append(fn(x).alias(f"_{i}_{nm}"))
-    w = df.agg(*exprs).first().asDict()
+    return _stat_rows(df, cols, stats, types, df.agg(*_stat_exprs(cols, stats)).first())
+
+
+def _stat_exprs(cols: Sequence[str], stats) -> list[Column]:
+    return [fn(clean_double(col_of(c))).alias(f"_{i}_{nm}") for i, c in enumerate(cols) for nm, fn in stats]
+
+
+def _stat_rows(df: DataFrame, cols: Sequence[str], stats, types, w) -> DataFrame:
     types = list(types or ["double"] * len(stats))
     rows = [(c, *[w[f"_{i}_{nm}"] for nm, _ in stats]) for i, c in enumerate(cols)]
     schema = "column string, " + ", ".join(f"{nm} {t}" for (nm, _), t in zip(stats, types))
@@ -148,10 +151,12 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per numeric
     column (A8), one row per column."""
     cols = list(cols or numeric_columns(df))
-    base = _unpivot_stats(df, cols, [
-        ("count", lambda x: F.count(x)), ("mean", F.avg), ("std", F.stddev_samp),
-        ("min", F.min), ("max", F.max)], ["bigint", "double", "double", "double", "double"])
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], approx=approx)
+    stats = [("count", lambda x: F.count(x)), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)]
+    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
+    # one scan for the moments and the brackets of the quartiles, one for the quartiles
+    w = df.agg(*_stat_exprs(cols, stats), *([] if approx else bracket_exprs(df, cols, probs))).first()
+    base = _stat_rows(df, cols, stats, ["bigint", "double", "double", "double", "double"], w)
+    q = quantiles(df, cols, probs, names, approx=True) if approx else quantiles_between(df, cols, probs, names, w).drop("n")
     return base.join(F.broadcast(q), ["column"], "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
@@ -170,38 +175,73 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names:
 
 
 # --- A9, A10 ----------------------------------------------------------------------
-def distinct_count(c: Column, exact: bool = True) -> Column:
-    """Exact distinct count (the reference's semantics) or, for very wide or
-    very large inputs, a HyperLogLog++ estimate (about 1 % error) that needs
-    no shuffle of the values."""
-    return F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01)
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, n_distinct): distinct present values of each column.
+
+    A value goes through the shuffle as its column's number and two 64-bit
+    hashes, never as itself, so long texts cost as much as numbers; equal
+    values of a task are merged before.  128 bits keep any number of values
+    apart that a table can hold."""
+    cols = list(df.columns if cols is None else cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct bigint")
+    cells = [F.when(present(df, c).isNotNull(), F.struct(
+        F.lit(i).alias("c"), F.xxhash64(col_of(c)).alias("h"), F.xxhash64(F.lit(i), F.lit("again"), col_of(c)).alias("g")))
+        for i, c in enumerate(cols)]
+    seen = df.select(F.explode(F.array(*cells)).alias("v")).where("v IS NOT NULL").select("v.*").distinct()
+    n = seen.groupBy("c").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "c int, column string")
+    return names.join(F.broadcast(n), "c", "left").select(  # one row per column on both sides
+        "column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: dtype, null count / %, distinct count, numeric and
     datetime flags, and for numeric columns min/max/mean/std (A9).  One
-    aggregate over all columns."""
+    aggregate over all columns, and one narrow shuffle for the distinct counts
+    (``exact=False``: HyperLogLog++ estimates within the aggregate)."""
     exprs = [F.count(F.lit(1)).alias("_rows")]
     fields = df.schema.fields
     for i, f in enumerate(fields):
-        c = col_of(f.name)
-        exprs += [F.count(c).alias(f"_{i}_nn"), distinct_count(c, exact).alias(f"_{i}_nd")]
+        c = present(df, f.name)
+        exprs.append(F.count(c).alias(f"_{i}_nn"))
+        if not exact:
+            exprs.append(F.approx_count_distinct(c, 0.01).alias(f"_{i}_nd"))
         if is_numeric(f.dataType):
             x = clean_double(c)
             exprs += [F.min(x).alias(f"_{i}_min"), F.max(x).alias(f"_{i}_max"),
                       F.avg(x).alias(f"_{i}_mean"), F.stddev_samp(x).alias(f"_{i}_std")]
     w = df.agg(*exprs).first().asDict()  # one row, sized by the column count
+    distinct = dict(distinct_counts(df).collect()) if exact else {}  # one row per column
     n = w["_rows"]
     rows = []
     for i, f in enumerate(fields):
         num = is_numeric(f.dataType)
         nulls = n - w[f"_{i}_nn"]
         rows.append((f.name, f.dataType.simpleString(), nulls, (nulls / n * 100.0) if n else None,
-                     w[f"_{i}_nd"], num, is_datetime(f.dataType),
+                     distinct[f.name] if exact else w[f"_{i}_nd"], num, is_datetime(f.dataType),
                      *[(w[f"_{i}_{k}"] if num else None) for k in ("min", "max", "mean", "std")]))
     return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
 
 
+def column_details(df: DataFrame, order_by: Sequence[str], k: int = 3) -> DataFrame:
+    """What the profile lists beside its numbers (A9): per column whether it has
+    nulls, its median (numeric columns) and its first ``k`` present values as
+    texts, in the order of ``order_by``."""
+    head = sample_values(df, order_by, k).groupBy("column_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda v: v["value"]), " | ")
+        .alias("samples"))  # at most k rows per column
+    filled = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(present(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("column"), (F.col(f"_{i}") < F.col("n")).alias("has_nulls"))
+            for i, c in enumerate(df.columns)]
+    out = filled.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = out.join(F.broadcast(head.withColumnRenamed("column_name", "column")), "column", "left")
+    numeric = numeric_columns(df)
+    if not numeric:
+        return out.withColumn("median", F.lit(None).cast("double"))
+    return out.join(F.broadcast(quantiles(df, numeric, [0.5], ["median"])), "column", "left")
+
+
 PROFILE_SCHEMA = ("column string, dtype string, null_count bigint, null_pct double, unique_count bigint, "
                   "is_numeric boolean, is_datetime boolean, min double, max double, mean double, std double")
 
@@ -297,7 +337,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Box plot numbers per group (A15): linear quartiles, 1.5 IQR fences,
     whiskers = most extreme values inside the fences, outlier count.
-    Quartiles by distributed sort; the second pass joins the (one row per
+    Exact quartiles first; the second pass joins the (one row per
     group) fences back with a size-checked join."""
     keys = [by] if by else []
     src = df.select(*[col_of(k).alias(k) for k in keys], clean_double(col_of(value)).alias("value"))
@@ -320,7 +360,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
 
 # --- A16, A17 ----------------------------------------------------------------------
 def dist_insight(df: DataFrame, column: str) -> DataFrame:
-    """Mean, median, std of one column (A16); median by distributed sort."""
+    """Mean, median, std of one column (A16); median in two scans."""
     m = df.agg(F.avg(clean_double(col_of(column))).alias("mean"),
                F.stddev_samp(clean_double(col_of(column))).alias("std"))
     med = column_quantiles(df, [column], [0.5], names=["median"]).select("median")

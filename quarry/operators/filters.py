@@ -10,11 +10,11 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stats import DATETIME_TYPES, NUMERIC_TYPES, col_of
+from quarry.functions.stats import DATETIME_TYPES, NUMERIC_TYPES, col_of, present
 from quarry.session import materialize
 
 
@@ -151,22 +151,25 @@ def split_by_flag(df: DataFrame, flag: Column) -> tuple[DataFrame, DataFrame]:
 
 
 # --- P13 --------------------------------------------------------------------
+#: Leading rows in which most columns have their first values.
+HEAD_ROWS = 100
+
+
 def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 3,
                   columns: Sequence[str] | None = None) -> DataFrame:
-    """First ``k`` non-null values of each column, as text, in long form
-    (column, k, value).  One top-k per column reading two columns each."""
+    """First ``k`` present values of each column, as text, in long form
+    (column_name, k, value).
+
+    One top-n of whole rows serves every column that has ``k`` values in it;
+    a column with fewer there has a top-k of its own, over two columns."""
     cols = list(columns or df.columns)
+    head = materialize(df.orderBy(*order_by).limit(max(HEAD_ROWS, k)), "head")
+    seen = head.agg(*[F.count(present(head, c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    first = Window.orderBy(*order_by)  # over the rows of a limit
     parts = []
-    for c in cols:
-        top = (df.where(col_of(c).isNotNull()).select(*[col_of(o) for o in order_by], col_of(c).alias("_v"))
-                 .orderBy(*order_by).limit(k))
-        parts.append(top.select(F.lit(c).alias("column_name"),
-                                F.row_number().over(_ow(order_by)).alias("k"),
+    for i, c in enumerate(cols):
+        src = (head if seen[f"_{i}"] >= k else df).select(*[col_of(o) for o in order_by], present(df, c).alias("_v"))
+        top = src.where(F.col("_v").isNotNull()).orderBy(*order_by).limit(k)
+        parts.append(top.select(F.lit(c).alias("column_name"), F.row_number().over(first).alias("k"),
                                 F.col("_v").cast("string").alias("value")))
     return reduce(DataFrame.unionByName, parts)
-
-
-def _ow(order_by):
-    from pyspark.sql import Window
-    # runs over at most k rows (after the limit)
-    return Window.orderBy(*order_by)

@@ -18,7 +18,9 @@ when one group holds a third of the rows:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -164,6 +166,26 @@ def _pick(src: DataFrame, targets: DataFrame, group_cols: Sequence[str], bounded
     return j.where(F.col("_r") + F.col("below") == F.col("k")).select(*g, "k", F.col("_v").alias("value"))
 
 
+def _narrow(src: DataFrame, active: DataFrame, group_cols: Sequence[str], small: bool) -> DataFrame:
+    """(groups, k, value) of the targets (k, lo, hi, below, cnt): passes over
+    the values until every interval holds one value or few rows."""
+    g = list(group_cols)
+    found = []
+    for _ in range(MAX_PASSES):
+        open_ = F.col("lo") < F.col("hi")
+        flags = active.agg(F.sum(F.when(open_ & (F.col("cnt") <= FINAL_ROWS), 1).otherwise(0)).alias("ready"),
+                           F.sum(F.when(open_ & (F.col("cnt") > FINAL_ROWS), 1).otherwise(0)).alias("big")).first()
+        found.append(active.where(~open_).select(*g, "k", F.col("lo").alias("value")))
+        if flags["ready"]:
+            found.append(_pick(src, active.where(open_ & (F.col("cnt") <= FINAL_ROWS)), g, True, small))
+        if not flags["big"]:
+            break
+        active = _keep(_refine(src, active.where(open_ & (F.col("cnt") > FINAL_ROWS)), g, small))
+    else:
+        found.append(_pick(src, active, g, False, small))
+    return reduce(DataFrame.unionByName, found)
+
+
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
                     value_col: str = "value", names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (pandas ``quantile``, DuckDB
@@ -181,6 +203,9 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
     """
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     g = list(group_cols)
+    if not g:
+        one = column_quantiles(long_df, [value_col], probs, names=names).drop("column")
+        return one.groupBy().agg(*[F.first(c).alias(c) for c in one.columns])  # a row also of no values
     src = long_df.select(*g, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     stats = _keep(src.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_mn"),
                                             F.max("_v").alias("_mx")))
@@ -194,23 +219,7 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
         big = F.col("cnt") > FINAL_ROWS
         first = _first_pass(src, stats.where(F.col("n") > FINAL_ROWS), active.where(big), g, small)
         active = active.where(~big).unionByName(first)
-    active = _keep(active)
-    found = []
-    for _ in range(MAX_PASSES):
-        open_ = F.col("lo") < F.col("hi")
-        flags = active.agg(F.sum(F.when(open_ & (F.col("cnt") <= FINAL_ROWS), 1).otherwise(0)).alias("ready"),
-                           F.sum(F.when(open_ & (F.col("cnt") > FINAL_ROWS), 1).otherwise(0)).alias("big")).first()
-        found.append(active.where(~open_).select(*g, "k", F.col("lo").alias("value")))
-        if flags["ready"]:
-            found.append(_pick(src, active.where(open_ & (F.col("cnt") <= FINAL_ROWS)), g, True, small))
-        if not flags["big"]:
-            break
-        active = _keep(_refine(src, active.where(open_ & (F.col("cnt") > FINAL_ROWS)), g, small))
-    else:
-        found.append(_pick(src, active, g, False, small))
-    vals = found[0]
-    for f in found[1:]:
-        vals = vals.unionByName(f)
+    vals = _narrow(src, _keep(active), g, small)
     aggs = [F.first("n").alias("n")]
     for i, hh in enumerate(hs):
         aggs += [F.max(F.when(F.col("k") == F.floor(hh), F.col("value"))).alias(f"_lo{i}"),
@@ -227,12 +236,110 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float], group_cols: Sequ
     return res.select(*g, "n", *names)
 
 
+# Quantile sketches: size, and how far on either side of a rank its bracket reaches, as a share of
+# the rows (several times the sketch's error; a rank outside its bracket costs more passes, no more).
+SKETCH_K = 4096
+SKETCH_SLACK = 0.003
+
+
+def bracket_exprs(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> list[Column]:
+    """Aggregates for ``quantiles_between``: per column the count, the extremes
+    and a mergeable quantile sketch read at both ends of every rank's bracket."""
+    ends = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-SKETCH_SLACK, SKETCH_SLACK)])
+    out = []
+    for i, c in enumerate(cols):
+        x = clean_double(F.col(f"`{c}`"))
+        sketch = F.kll_sketch_agg_double(x, F.lit(SKETCH_K))
+        out += [F.count(x).alias(f"_q{i}_n"), F.min(x).alias(f"_q{i}_lo"), F.max(x).alias(f"_q{i}_hi"),
+                F.when(F.count(x) > 0, F.kll_sketch_get_quantile_double(sketch, ends)).alias(f"_q{i}_ends")]
+    return out
+
+
+def _intervals(w, i: int, probs: Sequence[float]) -> list[tuple[float, float]]:
+    """Disjoint closed intervals around the wanted ranks of column ``i``."""
+    ends, lo, hi = w[f"_q{i}_ends"], w[f"_q{i}_lo"], w[f"_q{i}_hi"]
+    out: list[tuple[float, float]] = []
+    for j, p in sorted(enumerate(probs), key=lambda e: e[1]):
+        a = lo if p <= SKETCH_SLACK else ends[2 * j]
+        b = hi if p >= 1 - SKETCH_SLACK else ends[2 * j + 1]
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
+def quantiles_between(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str], w) -> DataFrame:
+    """(column, n, names...) from the row ``w`` of ``bracket_exprs`` and one
+    scan: values inside a bracket are counted one by one (in buckets, where
+    they would be too many), all others per gap between brackets.
+
+    A group is a value or a gap, so running counts over its smallest value
+    tell which holds a rank.  A rank that falls in a bucket or a gap is
+    narrowed down by further passes.  The tables on the driver have a few rows
+    per column; a column without values has no row."""
+    cells, targets = [], []
+    for i, c in enumerate(cols):
+        n = w[f"_q{i}_n"]
+        if not n:
+            continue
+        x = clean_double(F.col(f"`{c}`"))
+        parts = _intervals(w, i, probs)
+        past = reduce(lambda a, b: a + b, [(x > hi).cast("long") for _, hi in parts])
+        inside = reduce(lambda a, b: a | b, [x.between(lo, hi) for lo, hi in parts])
+        if n * 2 * SKETCH_SLACK <= FINAL_ROWS:
+            at, v = F.lit(0).cast("long"), F.when(inside, x)
+        else:
+            bucket = F.coalesce(*[F.when(x <= hi, F.least(
+                F.floor((x - lo) / ((hi - lo) or 1.0) * QUANTILE_BUCKETS), F.lit(QUANTILE_BUCKETS - 1))) for lo, hi in parts])
+            at, v = past * QUANTILE_BUCKETS + bucket, F.lit(None).cast("double")
+        cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("_ci"), F.when(inside, at).otherwise(-1 - past).alias("b"),
+                                                    v.alias("v"), x.alias("_v"))))
+        targets += [(i, k) for k in {f(n - 1, p) for p in probs for f in (_below, _above)}]
+    schema = "column string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
+    spark = df.sparkSession
+    if not cells:
+        return spark.createDataFrame([], schema)
+    long_df = df.select(F.explode(F.array(*cells)).alias("s")).where("s IS NOT NULL").select("s.*")
+    h = long_df.groupBy("_ci", "b", "v").agg(F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    # a column has at most a bracket's values (or buckets) and the gaps between
+    run = Window.partitionBy("_ci").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("below", F.coalesce(F.sum("cnt").over(run), F.lit(0)))
+    wanted = spark.createDataFrame(targets, "_ci int, k bigint")
+    hit = h.join(F.broadcast(wanted), "_ci").where("below <= k AND k < below + cnt").select(
+        "_ci", "k", "lo", "hi", "below", "cnt").collect()  # two rows per column and rank
+    values = {(r["_ci"], r["k"]): r["lo"] for r in hit if r["lo"] == r["hi"]}
+    left = [tuple(r) for r in hit if r["lo"] != r["hi"]]
+    if left:
+        active = spark.createDataFrame(left, "_ci int, k bigint, lo double, hi double, below bigint, cnt bigint")
+        values.update({(r["_ci"], r["k"]): r["value"] for r in _narrow(long_df.select("_ci", "_v"), active, ["_ci"], True).collect()})
+    rows = []
+    for i, c in enumerate(cols):
+        n = w[f"_q{i}_n"]
+        if n:
+            pairs = [(values[i, _below(n - 1, p)], values[i, _above(n - 1, p)], (n - 1) * p) for p in probs]
+            rows.append((c, n, *[lo + (hi - lo) * (at - math.floor(at)) for lo, hi, at in pairs]))
+    return spark.createDataFrame(rows, schema)
+
+
+def _below(last: int, p: float) -> int:
+    return math.floor(last * p)
+
+
+def _above(last: int, p: float) -> int:
+    return math.ceil(last * p)
+
+
 def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles of several numeric columns (and groups) in one sort.
-    The sort key carries a column index, not the name (narrower rows,
-    cheaper comparisons); names are restored on the small result."""
+    """Exact quantiles (linear interpolation) of several numeric columns.
+
+    Whole columns take two scans: sketches for brackets, then counts within
+    them.  With groups, whose number is not known, histograms narrow all
+    (group, column) pairs together; keys carry a column's number, not its name."""
     cols = list(cols)
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    if not by:
+        return quantiles_between(df, cols, probs, names, df.agg(*bracket_exprs(df, cols, probs)).first())
     arr = F.array(*[F.struct(F.lit(i).alias("c"), clean_double(F.col(f"`{c}`")).alias("v"))
                     for i, c in enumerate(cols)])
     long_df = (df.select(*[F.col(b) for b in by], F.explode(arr).alias("_kv"))

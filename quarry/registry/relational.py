@@ -313,6 +313,21 @@ def column_profile(spark, sf):
     return round_all(A.column_profile(t(spark, sf, "orders")), 4)
 
 
+@q("column_details", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) > count({c}) AS has_nulls, "
+    f"{sr(f'quantile_cont({c}, 0.5)', 4) if dt in ('bigint', 'double') else 'CAST(NULL AS DOUBLE)'} AS median, "
+    f"(SELECT string_agg(CAST({c} AS VARCHAR), ' | ' ORDER BY o_orderkey) FROM (SELECT o_orderkey, {c} FROM orders "
+    f"WHERE {c} IS NOT NULL ORDER BY o_orderkey LIMIT 3)) AS samples FROM orders" for c, dt in _ORDER_TYPES))
+def column_details(spark, sf):
+    return round_all(A.column_details(t(spark, sf, "orders"), ["o_orderkey"]), 4)
+
+
+@q("distinct_counts", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM documents" for c in SCHEMAS["documents"]))
+def distinct_counts(spark, sf):
+    return A.distinct_counts(t(spark, sf, "documents"))
+
+
 def _quality_cols_sql(table):
     cols = SCHEMAS[table]
     k = len(cols)

@@ -16,6 +16,7 @@ from quarry.operators import aggregates as A
 from quarry.operators import experiments as X
 from quarry.operators import filters as P
 from quarry.operators import order as O
+from quarry.operators import profile as R
 from quarry.plans import spec as PL
 from quarry.sources import io as S
 
@@ -325,3 +326,71 @@ def test_missing_and_infinite_values(spark):
     assert sorted(tuple(r) for r in A.pivot_mean(wide, "a", "b", "v").collect()) == [("r", i, float(i)) for i in range(60)]
     got = S.report(wide, ["b", "v"], 5)
     assert got["first_rows"].count() == 5 and got["overview"].first().record_count == 61 and got["describe"].count() == 2
+
+
+# ---------------------------------------------------------------- whole-column quantiles, distinct counts, samples
+@pytest.mark.parametrize("final,buckets,k,slack", [
+    (50_000, 1024, 4096, 0.003),   # values inside the brackets are counted one by one
+    (1, 16, 4096, 0.003),          # brackets are cut into buckets, narrowed by more passes
+    (50_000, 1024, 8, 0.0),        # coarse sketch, no slack: ranks fall outside their brackets
+    (1, 4, 8, 0.0),
+])
+def test_column_quantiles_paths(spark, monkeypatch, final, buckets, k, slack):
+    for name, v in (("FINAL_ROWS", final), ("QUANTILE_BUCKETS", buckets), ("SKETCH_K", k), ("SKETCH_SLACK", slack)):
+        monkeypatch.setattr(O, name, v)
+    rnd = np.random.default_rng(4)
+    cols = {"skewed": rnd.exponential(size=3000), "ties": rnd.integers(0, 3, 3000).astype(float), "one": np.full(3000, 7.0),
+            "wide": np.concatenate([rnd.normal(size=2990), np.full(10, 1e300)])}
+    rows = [tuple(float(v[i]) for v in cols.values()) + (None, float("nan")) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in (*cols, "empty", "nans")))
+    probs = [0.0, 0.25, 0.5, 0.5005, 1.0]
+    got = {r["column"]: r for r in O.column_quantiles(df, df.columns, probs, names=["a", "b", "c", "d", "e"]).collect()}
+    assert set(got) == set(cols)
+    for c, v in cols.items():
+        assert got[c]["n"] == 3000
+        assert [got[c][x] for x in "abcde"] == pytest.approx(np.quantile(v, probs).tolist(), rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert O.column_quantiles(df.limit(0), ["v"], [0.5]).count() == 0
+    assert [r["n"] for r in O.exact_quantiles(df.withColumnRenamed("v", "value"), [0.5], []).collect()] == [None]
+    kept = R.iqr_flag(df, "v").collect()  # a column without values has no outliers, and no row is lost
+    assert [r["is_anomaly"] for r in kept] == [False]
+
+
+def test_distinct_counts(spark):
+    rows = [("x", 0.0, 1, None), ("x", -0.0, 2, None), ("", float("nan"), 2, None), (None, 5.0, None, None)]
+    df = spark.createDataFrame(rows, "t string, d double, `a.b` int, n string")
+    assert dict(A.distinct_counts(df).collect()) == {"t": 2, "d": 2, "a.b": 2, "n": 0}
+    assert set(dict(A.distinct_counts(df.limit(0)).collect()).values()) == {0}
+    same = df.selectExpr("t AS a", "t AS b")  # equal values of two columns stay apart
+    assert dict(A.distinct_counts(same).collect()) == {"a": 2, "b": 2}
+
+
+def test_roles_near_a_threshold_are_counted(spark):
+    n = 400  # a category has at most 24 distinct values here
+    df = spark.range(n).selectExpr("concat('v', id % 24) AS few", "concat('v', id % 25) AS more", "concat('k', id) AS user_id",
+                                   "id % 12 AS code", "id % 13 AS amount", "CAST(NULL AS STRING) AS nothing", "id > 3 AS flag")
+    roles = dict(R.column_roles(df).collect())
+    assert roles == {"few": "category", "more": "text_or_category", "user_id": "identifier", "code": "numeric_code",
+                     "amount": "numeric_measure", "nothing": "mostly_empty", "flag": "boolean"}
+
+
+def test_samples_of_a_sparse_column(spark):
+    df = spark.range(1000).selectExpr("id", "IF(id % 400 = 399, concat('s', id), NULL) AS sparse", "CAST(NULL AS INT) AS none")
+    got = [(r["column_name"], r["k"], r["value"]) for r in P.sample_values(df, ["id"], 3).collect()]
+    assert sorted(got) == [("id", 1, "0"), ("id", 2, "1"), ("id", 3, "2"), ("sparse", 1, "s399"), ("sparse", 2, "s799")]
+    details = {r["column"]: r for r in A.column_details(df, ["id"]).collect()}
+    assert (details["id"]["median"], details["id"]["samples"], details["id"]["has_nulls"]) == (499.5, "0 | 1 | 2", False)
+    assert details["sparse"]["samples"] == "s399 | s799" and details["none"]["samples"] is None and details["none"]["has_nulls"]
+
+
+def test_invalid_experiments_and_variant_means(spark):
+    df = spark.createDataFrame([("x", "A", 1.0), ("x", "A", 2.0), ("x", "B", 3.0), ("y", "B", 1.0), ("z", "A", 1.0), ("z", "A", 3.0),
+                                ("z", "B", 2.0), ("z", "B", 9.0)], "experiment string, variant string, value double")
+    bad = {r["experiment"]: (r["n_a"], r["n_b"], r["error"]) for r in X.invalid_experiments(df).collect()}
+    assert bad == {"x": (2, 1, "too few observations: B"), "y": (0, 1, "too few observations: A and B")}
+    m = {(r["experiment"], r["variant"]): (r["n"], r["mean"], r["vs_others"])
+         for r in X.variant_means(df, "variant", "value", "experiment").collect()}
+    assert m["z", "A"] == (2, 2.0, -3.5) and m["y", "B"] == (1, 1.0, None)
