@@ -277,29 +277,32 @@ def quantiles_between(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     tell which holds a rank.  A rank that falls in a bucket or a gap is
     narrowed down by further passes.  The tables on the driver have a few rows
     per column; a column without values has no row."""
-    cells, targets = [], []
-    for i, c in enumerate(cols):
-        n = w[f"_q{i}_n"]
-        if not n:
-            continue
-        x = clean_double(F.col(f"`{c}`"))
-        parts = _intervals(w, i, probs)
-        past = reduce(lambda a, b: a + b, [(x > hi).cast("long") for _, hi in parts])
-        inside = reduce(lambda a, b: a | b, [x.between(lo, hi) for lo, hi in parts])
-        if n * 2 * SKETCH_SLACK <= FINAL_ROWS:
-            at, v = F.lit(0).cast("long"), F.when(inside, x)
-        else:
-            bucket = F.coalesce(*[F.when(x <= hi, F.least(
-                F.floor((x - lo) / ((hi - lo) or 1.0) * QUANTILE_BUCKETS), F.lit(QUANTILE_BUCKETS - 1))) for lo, hi in parts])
-            at, v = past * QUANTILE_BUCKETS + bucket, F.lit(None).cast("double")
-        cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("_ci"), F.when(inside, at).otherwise(-1 - past).alias("b"),
-                                                    v.alias("v"), x.alias("_v"))))
-        targets += [(i, k) for k in {f(n - 1, p) for p in probs for f in (_below, _above)}]
+    held = [i for i in range(len(cols)) if w[f"_q{i}_n"]]
     schema = "column string, n bigint, " + ", ".join(f"{nm} double" for nm in names)
     spark = df.sparkSession
-    if not cells:
+    if not held:
         return spark.createDataFrame([], schema)
-    long_df = df.select(F.explode(F.array(*cells)).alias("s")).where("s IS NOT NULL").select("s.*")
+    targets = [(i, k) for i in held for k in {f(w[f"_q{i}_n"] - 1, p) for p in probs for f in (_below, _above)}]
+    # one table of brackets, looked up by the column's number: the plan is as small for many columns as for one
+    cuts = [_intervals(w, i, probs) if i in held else [] for i in range(len(cols))]
+    many = [bool(w[f"_q{i}_n"]) and w[f"_q{i}_n"] * 2 * SKETCH_SLACK > FINAL_ROWS for i in range(len(cols))]
+
+    def of_column(values, kind: str) -> Column:
+        return F.array(*[F.lit(v).cast(kind) for v in values])[F.col("_ci")]
+
+    long_df = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(f"`{cols[i]}`").cast("double").alias("_v"))
+                                            for i in held])).alias("s")).select("s.*")
+    x = F.col("_v")
+    long_df = long_df.where(x.isNotNull() & ~F.isnan(x))
+    ends = [(of_column([c[j][0] if j < len(c) else None for c in cuts], "double"),
+             of_column([c[j][1] if j < len(c) else None for c in cuts], "double")) for j in range(len(probs))]
+    past = reduce(lambda a, b: a + b, [F.when(x > hi, 1).otherwise(0) for _, hi in ends])
+    inside = F.coalesce(*[F.when(x.between(lo, hi), True) for lo, hi in ends], F.lit(False))
+    bucket = F.coalesce(*[F.when(x <= hi, F.when(lo == hi, F.lit(0)).otherwise(F.least(
+        F.floor((x - lo) / (hi - lo) * QUANTILE_BUCKETS), F.lit(QUANTILE_BUCKETS - 1)))) for lo, hi in ends])
+    cut = of_column(many, "boolean")
+    long_df = long_df.select("_ci", "_v", F.when(~inside, -1 - past).when(cut, past * QUANTILE_BUCKETS + bucket).otherwise(0)
+                             .cast("long").alias("b"), F.when(inside & ~cut, x).alias("v"))
     h = long_df.groupBy("_ci", "b", "v").agg(F.count(F.lit(1)).alias("cnt"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     # a column has at most a bracket's values (or buckets) and the gaps between
     run = Window.partitionBy("_ci").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
