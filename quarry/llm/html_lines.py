@@ -66,22 +66,24 @@ def _marks(tag: str, attrs: str) -> tuple[bool, int]:
     return apart, level
 
 
-def lines(page: str) -> list[tuple[str, int]]:
-    """(text, level) of the lines of a page in their order."""
-    out: list[tuple[str, int]] = []
+def lines(page: str) -> list[tuple[str, int, int]]:
+    """(text, level, part) of the lines of a page in their order; a part is the
+    outermost element that opened the level, numbered from 1 (0: no element)."""
+    out: list[tuple[str, int, int]] = []
     buf: list[str] = []
     stack: list[tuple[str, bool, int, bool]] = []  # name, apart, level opened, header of an article
     opened: dict[str, int] = {}
     apart = head = 0
     heading = False
-    levels = [LOOSE]
+    levels, parts = [LOOSE], [0]
+    last = 0
 
     def flush() -> None:
         if buf:
             text = " ".join(unescape("".join(buf)).split())
             buf.clear()
             if text:
-                out.append((text, FRAME if apart or (head and not heading) else levels[-1]))
+                out.append((text, FRAME if apart or (head and not heading) else levels[-1], parts[-1]))
 
     def pop() -> None:
         nonlocal apart, head
@@ -91,6 +93,7 @@ def lines(page: str) -> list[tuple[str, int]]:
         head -= h
         if lev:
             levels.pop()
+            parts.pop()
 
     def close(name: str) -> None:
         if not opened.get(name):
@@ -174,6 +177,8 @@ def lines(page: str) -> list[tuple[str, int]]:
         apart += a
         head += h
         if level:
+            last += level > levels[-1]
+            parts.append(last if level > levels[-1] else parts[-1])
             levels.append(max(level, levels[-1]))
         if name in HEADING:
             heading = True

@@ -1,23 +1,26 @@
 """Main text of web pages by differencing each page against its nearest URL.
 
 Pages are cut into text lines (``html_lines``).  Within a host, pages are put
-in the order of their URL paths; a page's partner is the neighbour whose path
-agrees with its own further.  The lines of both are aligned by their longest
-common subsequence, and lines that both have are the site's, not the page's:
-they are deleted.
-
-Marks in the page come first where they say more than a comparison can.  Lines
-in menus, headers, footers, sidebars, notices, adverts, forms and comments are
-never main text, whether the partner has the same words there or others.
-A line inside a marked-up article is main text even if another page has it too
-(passages do repeat).  The comparison therefore decides on pages that do not
-mark their article: on their lines in ``main``, or all lines if there is none.
-
-A neighbour that has at least ``NEAR_COPY`` of a page's text is rather a copy
-of it than its sibling: then the other neighbour is asked if it has less.  If
-every line is shared all the same, nothing tells site from page and the lines
-stay.  Pages of a host with the same lines count once and are treated alike, so
-a page is never compared with its own copy.
+in the order of their URL paths, segment by segment, so the nearest URL is one
+of the two neighbours: the one that agrees further.  The whole pages, menus and
+footers included, are aligned line by line by their longest common subsequence;
+lines that both have are the site's, not the page's: they are deleted.  This is
+done for every page, whether it marks its article or not.
+
+A check by the marks in the page follows, where they say more than a comparison
+can.  Left lines in menus, headers, footers, sidebars, notices, adverts, forms
+and comments go as well: sites put other words there on every page.  Of the
+rest, lines of the article are the main text, else those in ``main``, else all.
+Deleted lines come back if their article element has lines of the page's own
+(passages do repeat); an article element that the nearest URL has entirely, as a
+teaser, stays deleted.  Pages that do not mark their article get no line back.
+
+A neighbour that has at least ``NEAR_COPY`` of a page's main text is rather a
+copy of it than its sibling: then the other neighbour is asked if it has less,
+and no article element is deleted if it has that much too.  If every line is
+shared all the same, nothing tells site from page and the lines stay.  Pages of
+a host with the same main lines count once and are treated alike, so a page is
+never compared with its own copy.
 
 Order and partners come from distributed positions in (host, path); a host is
 cut into stretches of ``STRETCH`` pages which also get the page before and
@@ -51,9 +54,9 @@ BROADCAST_BYTES = 16 << 20
 
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\\]*)([^?#]*)(\?[^#]*)?")
 
-PARSED = "page_id bigint, url string, host string, seq binary, level int, texts array<string>"
-KEYS = "host string, path string, query string, seq binary, level int, hashes array<bigint>, chars array<int>"
-DROPS = "host string, seq binary, gone array<int>"
+PARSED = "page_id bigint, url string, host string, seq binary, texts array<string>"
+KEYS = "host string, path string, query string, seq binary, whole binary, level int, hashes array<bigint>, chars array<int>, parts array<int>"
+DROPS = "host string, seq binary, gone array<boolean>"
 
 
 def address(url: str | None) -> tuple[str | None, str, str]:
@@ -63,11 +66,16 @@ def address(url: str | None) -> tuple[str | None, str, str]:
     return (host, m[2] or "/", m[3] or "") if host else (None, "", "")
 
 
+def marked_lines(page: str | None) -> tuple[int, list[tuple[str, int, int]]]:
+    """The level of a page's main text and all its lines with level and part."""
+    got = lines(page or "")
+    return max((x[1] for x in got if x[1] != FRAME), default=ARTICLE), got
+
+
 def kept_lines(page: str | None) -> tuple[int, list[str]]:
     """The level of a page's main text and the lines it may consist of."""
-    got = [x for x in lines(page or "") if x[1] != FRAME]
-    level = max((x[1] for x in got), default=ARTICLE)
-    return level, [t for t, lev in got if lev == level]
+    level, got = marked_lines(page)
+    return level, [x[0] for x in got if x[1] == level]
 
 
 def common(a: list, b: list) -> list[int]:
@@ -129,7 +137,8 @@ def nearness(a: dict, b: dict) -> tuple[int, int]:
 
 
 def shared_lines(page: dict, before: dict | None, after: dict | None) -> list[int]:
-    """The lines of a page to delete."""
+    """The lines of a page that its nearest URL has too; those of 0 ``chars``
+    are aligned, but do not count as main text."""
     around = [p for p in (before, after) if p is not None]
     around.sort(key=lambda p: nearness(page, p), reverse=True)  # a tie goes to the page before
     total = sum(page["chars"])
@@ -141,7 +150,20 @@ def shared_lines(page: dict, before: dict | None, after: dict | None) -> list[in
             best = size, gone
         if best[0] < NEAR_COPY * total:
             break
-    return [] if best is None or len(best[1]) == len(page["hashes"]) else best[1]
+    return [] if best is None or best[0] == total else best[1]
+
+
+def deleted(page: dict, gone: list[int]) -> list[bool]:
+    """For each line that may be main text whether it stays deleted, after the
+    lines ``gone`` by comparison are checked against the marks of the page."""
+    may = [i for i, n in enumerate(page["chars"]) if n]
+    shared = set(gone)
+    if page["level"] < ARTICLE:
+        return [i in shared for i in may]
+    if sum(page["chars"][i] for i in gone) >= NEAR_COPY * sum(page["chars"]):
+        return [False] * len(may)
+    own = {page["parts"][i] for i in may if i not in shared}
+    return [page["parts"][i] not in own for i in may]
 
 
 def _digest(texts: list[str]) -> tuple[bytes, list[int]]:
@@ -149,9 +171,17 @@ def _digest(texts: list[str]) -> tuple[bytes, list[int]]:
     return hashlib.blake2b(b"".join(marks), digest_size=16).digest(), [int.from_bytes(x, "little", signed=True) for x in marks]
 
 
+def _sequence(level: int, got: list[tuple[str, int, int]]) -> tuple[bytes, list[str]]:
+    """A digest of the lines that may be main text and of their marks, and the lines."""
+    may = [x for x in got if x[1] == level]
+    texts = [x[0] for x in may]
+    starts = [k for k in range(1, len(may)) if may[k][2] != may[k - 1][2]] if level == ARTICLE else []
+    return _digest(texts)[0] + bytes([level]) + b"".join(k.to_bytes(4) for k in starts), texts
+
+
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()),
-             "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+             "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
     fields = [c.split() for c in schema.split(", ")]
     cols = list(zip(*rows)) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
@@ -170,16 +200,17 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in _small(batches):
             out = []
             for ident, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                level, texts = kept_lines(html)
-                out.append((ident, url, address(url)[0], _digest(texts)[0], level, texts))
+                seq, texts = _sequence(*marked_lines(html))
+                out.append((ident, url, address(url)[0], seq, texts))
             yield _batch(PARSED, out)
 
     return pages.mapInArrow(run, PARSED)
 
 
 def site_lines(pages: DataFrame) -> DataFrame:
-    """(host, seq, gone): the lines that pages share with their nearest URL,
-    for every line sequence of a host that loses some."""
+    """(host, seq, gone): of the lines that may be main text those that the
+    comparison with the nearest URL deletes, for every line sequence of a host
+    that loses some."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -187,28 +218,31 @@ def site_lines(pages: DataFrame) -> DataFrame:
             for url, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 host, path, query = address(url)
                 if host is not None:
-                    level, texts = kept_lines(html)
-                    seq, marks = _digest(texts)
+                    level, got = marked_lines(html)
+                    seq, texts = _sequence(level, got)
                     if texts:  # an empty page says nothing about its host
-                        out.append((host, path, query, seq, level, marks, list(map(len, texts))))
+                        whole, marks = _digest([x[0] for x in got])
+                        chars = [len(x[0]) if x[1] == level else 0 for x in got]
+                        out.append((host, path, query, seq, whole + _digest(list(map(str, chars)))[0], level, marks, chars, [x[2] for x in got]))
             yield _batch(KEYS, out)
 
     def stretch(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["pos"])
         out = []
         for k, page in enumerate(rows):
-            if page["stretch"] == page["pos"] // STRETCH and page["level"] < ARTICLE:
-                gone = shared_lines(page, rows[k - 1] if k else None, rows[k + 1] if k + 1 < len(rows) else None)
-                if gone:
+            if page["stretch"] == page["pos"] // STRETCH:
+                shared = shared_lines(page, rows[k - 1] if k else None, rows[k + 1] if k + 1 < len(rows) else None)
+                gone = deleted(page, shared)
+                if any(gone):
                     out.append((page["host"], page["seq"], gone))
         return pa.Table.from_batches([_batch(DROPS, out)])
 
     rows = pages.mapInArrow(keys, KEYS)
     # copies on a host count once, at their first address
     once = rows.groupBy("host", "seq").agg(
-        F.min(F.struct("path", "query")).alias("_at"), F.first("level").alias("level"), F.first("hashes").alias("hashes"),
-        F.first("chars").alias("chars")).select("host", "seq", "_at.path", "_at.query", "level", "hashes", "chars")
-    placed = with_position(once, ["path", "query", "seq"], by=["host"], pos_col="pos", n_col=None)
+        F.min_by(F.struct("path", "query", "level", "hashes", "chars", "parts"), F.struct("path", "query", "whole")).alias("_at")).select(
+        "host", "seq", "_at.*")
+    placed = with_position(once, [F.split("path", "/"), "query", "seq"], by=["host"], pos_col="pos", n_col=None)
     own = F.floor(F.col("pos") / STRETCH)
     edge = F.col("pos") % STRETCH
     halo = F.array(own, F.when((edge == 0) & (F.col("pos") > 0), own - 1), F.when(edge == STRETCH - 1, own + 1))
@@ -227,9 +261,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = parse(rows)
     if not n:
         return parsed.select("page_id", "url", "texts")
-    if 64 * n + 4 * size <= BROADCAST_BYTES:
+    if 64 * n + size <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     joined = parsed.join(gone, ["host", "seq"], "left")
-    left = F.filter("texts", lambda t, i: ~F.array_contains("gone", i))
-    return joined.select("page_id", "url", F.when(F.col("gone").isNull() | (F.col("level") == ARTICLE), F.col("texts"))
-                         .otherwise(left).alias("texts"))
+    left = F.filter("texts", lambda t, i: ~F.get("gone", i))
+    return joined.select("page_id", "url", F.when(F.col("gone").isNull(), F.col("texts")).otherwise(left).alias("texts"))
